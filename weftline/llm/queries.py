@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import boilerplate
+from weftline.llm import boilerplate, consensus, repetition
 from weftline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +25,32 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.without_repeated_lines(table(spark, d, "apply_filters"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.repetitive_pages(table(spark, d, "apply_filters")).select("page_id")
+
+
+def p4_statistics(spark: SparkSession, d: str) -> DataFrame:
+    stats = repetition.repetition_statistics(table(spark, d, "apply_filters"))
+    share = F.when(F.col("words") > 0, F.col("repeated") / F.col("words")).otherwise(0.0)
+    return stats.select("page_id", "words", F.round(share, 6).alias("repeated_share"), "excess", "top").dropDuplicates()
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    documents, _ = consensus.consensus(table(spark, d, "build_label_dataset"))
+    return documents.where("annotators >= 3").select("doc_id", "label")
+
+
+def p5_annotators(spark: SparkSession, d: str) -> DataFrame:
+    _, annotators = consensus.consensus(table(spark, d, "build_label_dataset"))
+    return annotators
+
+
+def p5_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.alpha(table(spark, d, "build_label_dataset"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_lines, p3_clean)}
+    return {f.__name__: f for f in (p3_found, p3_lines, p3_clean, p4_found, p4_statistics, p5_found, p5_annotators, p5_agreement)}
 
 
 def oracle_sql() -> dict[str, str]:

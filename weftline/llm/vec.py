@@ -101,9 +101,11 @@ def segment_hash(terms: np.ndarray, offsets: np.ndarray, place: np.ndarray | Non
         first, size = offsets[:-1][full], lengths[full]
         if place is None:
             place = np.arange(len(terms)) - np.repeat(first, size)
+        else:
+            size = 0  # the number of symbols depends on the spelling
         with np.errstate(over="ignore"):
             sums = np.add.reduceat(terms * factors[place & (POSITIONS - 1)], first)
-            out[full] = splitmix(sums + size.astype(np.uint64)) | np.uint64(1)
+            out[full] = splitmix(sums + np.asarray(size, np.uint64)) | np.uint64(1)
     return out
 
 
