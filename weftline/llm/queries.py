@@ -7,12 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import boilerplate, consensus, repetition
+from weftline.llm import boilerplate, consensus, leakage, packing, repetition, splits
 from weftline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.linked_hosts(splits.assign_splits(table(spark, d, "build_label_dataset")))
+
+
+def p2_splits(spark: SparkSession, d: str) -> DataFrame:
+    components = splits.assign_splits(table(spark, d, "build_label_dataset"))
+    return components.where("node not like 'of:%'")
+
+
+def p2_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """All labels in two batches by their time (those without one in the second): the table after both, by split."""
+    rows = table(spark, d, "build_label_dataset")
+    middle = F.lit("2025-01-01").cast("timestamp_ntz")
+    early = F.coalesce(F.col("labelled_at") < middle, F.lit(False))
+    first = splits.persist(splits.assign_splits(rows.where(early)))
+    return splits.split_shares(splits.assign_splits(rows.where(~early), spark.read.parquet(first)))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.repeated_lines(table(spark, d, "apply_filters")).select("page_id", "line_no")
 
@@ -49,8 +67,25 @@ def p5_agreement(spark: SparkSession, d: str) -> DataFrame:
     return consensus.alpha(table(spark, d, "build_label_dataset"))
 
 
+def p7_sequences(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed_sequences(table(spark, d, "documents"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(packing.packed_sequences(table(spark, d, "documents")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "held_out"))
+    return leakage.leaks(found).select("doc_id", "item_id")
+
+
+def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "held_out"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_lines, p3_clean, p4_found, p4_statistics, p5_found, p5_annotators, p5_agreement)}
+    return {f.__name__: f for f in (p2_found, p2_splits, p2_incremental, p3_found, p3_lines, p3_clean, p4_found, p4_statistics, p5_found, p5_annotators, p5_agreement, p7_sequences, p7_report, p8_found, p8_overlaps)}
 
 
 def oracle_sql() -> dict[str, str]:
