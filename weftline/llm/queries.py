@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import boilerplate, consensus, leakage, packing, repetition, splits
+from weftline.llm import boilerplate, consensus, leakage, packing, quality, repetition, splits
 from weftline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,23 @@ def p5_agreement(spark: SparkSession, d: str) -> DataFrame:
     return consensus.alpha(table(spark, d, "build_label_dataset"))
 
 
+def _p6_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return quality.judged(table(spark, d, "build_a"), table(spark, d, "stop_words"), table(spark, d, "sampled_text"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(_p6_verdicts(spark, d)).select("id").distinct()
+
+
+def p6_statistics(spark: SparkSession, d: str) -> DataFrame:
+    stats = quality.quality_statistics(table(spark, d, "build_a"), table(spark, d, "stop_words"))
+    return stats.select("id", *(F.round(s, 6).alias(s) for s in quality.STATISTICS)).distinct()
+
+
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    return _p6_verdicts(spark, d).select("id", "class").distinct()
+
+
 def p7_sequences(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed_sequences(table(spark, d, "documents"))
 
@@ -85,7 +102,7 @@ def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_splits, p2_incremental, p3_found, p3_lines, p3_clean, p4_found, p4_statistics, p5_found, p5_annotators, p5_agreement, p7_sequences, p7_report, p8_found, p8_overlaps)}
+    return {f.__name__: f for f in (p2_found, p2_splits, p2_incremental, p3_found, p3_lines, p3_clean, p4_found, p4_statistics, p5_found, p5_annotators, p5_agreement, p6_found, p6_statistics, p6_classes, p7_sequences, p7_report, p8_found, p8_overlaps)}
 
 
 def oracle_sql() -> dict[str, str]:
