@@ -7,12 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import boilerplate, consensus, leakage, packing, quality, repetition, splits
+from weftline.llm import boilerplate, consensus, language, leakage, packing, quality, repetition, splits
 from weftline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _p1_languages(spark: SparkSession, d: str) -> DataFrame:
+    return language.identified(table(spark, d, "build_a"), table(spark, d, "sampled_text"), table(spark, d, "stop_words"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    found = _p1_languages(spark, d).select("id", "languages")
+    wrong = language.mislabelled(table(spark, d, "build_a"), found).join(p6_found(spark, d), "id", "left_anti")
+    return wrong.select("id", F.explode("languages").alias("found_lang")).distinct()
+
+
+def p1_languages(spark: SparkSession, d: str) -> DataFrame:
+    found = _p1_languages(spark, d)
+    return found.select("id", F.concat_ws(",", F.array_sort("languages")).alias("languages"), F.round("confidence", 6).alias("confidence")).distinct()
+
+
+def p1_passages(spark: SparkSession, d: str) -> DataFrame:
+    rows = _p1_languages(spark, d).select("id", F.explode(F.arrays_zip("starts", "ends", "passage_languages", "confidences")).alias("p"))
+    return rows.select("id", F.col("p.starts").alias("start"), F.col("p.ends").alias("end"), F.col("p.passage_languages").alias("lang"), F.round("p.confidences", 6).alias("confidence")).distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.linked_hosts(splits.assign_splits(table(spark, d, "build_label_dataset")))
 
@@ -102,7 +122,7 @@ def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_splits, p2_incremental, p3_found, p3_lines, p3_clean, p4_found, p4_statistics, p5_found, p5_annotators, p5_agreement, p6_found, p6_statistics, p6_classes, p7_sequences, p7_report, p8_found, p8_overlaps)}
+    return {f.__name__: f for f in (p1_found, p1_languages, p1_passages, p2_found, p2_splits, p2_incremental, p3_found, p3_lines, p3_clean, p4_found, p4_statistics, p5_found, p5_annotators, p5_agreement, p6_found, p6_statistics, p6_classes, p7_sequences, p7_report, p8_found, p8_overlaps)}
 
 
 def oracle_sql() -> dict[str, str]:
