@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import boilerplate, consensus, language, leakage, packing, quality, repetition, splits
+from weftline.llm import boilerplate, consensus, language, leakage, packing, pii, quality, repetition, splits
 from weftline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,8 +121,27 @@ def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "held_out"))
 
 
+def _p9_detector(spark: SparkSession, d: str) -> pii.Detector:
+    """Words that open sentences but are no names: those that the clean samples write in lower case, and the common words."""
+    words = F.transform(F.split("text", r"\s+"), lambda w: F.regexp_replace(w, r"[.,!?]+$", ""))
+    plain = table(spark, d, "sampled_text").select(F.explode(words).alias("word")).where(F.lower("word") == F.col("word"))
+    return pii.detector_for(table(spark, d, "name_list"), plain.union(table(spark, d, "stop_words").select("word")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.located(table(spark, d, "documents"), _p9_detector(spark, d)).select("doc_id", "line_no", "kind").distinct()
+
+
+def p9_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    return pii.rewritten(table(spark, d, "documents"), _p9_detector(spark, d), "surrogate").distinct()
+
+
+def p9_placeholders(spark: SparkSession, d: str) -> DataFrame:
+    return pii.rewritten(table(spark, d, "documents"), _p9_detector(spark, d), "placeholder").distinct()
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_languages, p1_passages, p2_found, p2_splits, p2_incremental, p3_found, p3_lines, p3_clean, p4_found, p4_statistics, p5_found, p5_annotators, p5_agreement, p6_found, p6_statistics, p6_classes, p7_sequences, p7_report, p8_found, p8_overlaps)}
+    return {f.__name__: f for f in (p1_found, p1_languages, p1_passages, p2_found, p2_splits, p2_incremental, p3_found, p3_lines, p3_clean, p4_found, p4_statistics, p5_found, p5_annotators, p5_agreement, p6_found, p6_statistics, p6_classes, p7_sequences, p7_report, p8_found, p8_overlaps, p9_found, p9_surrogates, p9_placeholders)}
 
 
 def oracle_sql() -> dict[str, str]:
