@@ -31,3 +31,34 @@ def url_path(url: Column) -> Column:
     """Path of a url without query, fragment and trailing slashes."""
     rest = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*|[?#][\s\S]*$", "")
     return F.regexp_replace(rest, "/+$", "")
+
+
+def site(url: Column) -> Column:
+    """Authority before the first colon, lower case, without one leading ``www.``; user information stays. '' without one."""
+    return F.regexp_replace(F.lower(F.split_part(F.regexp_extract(F.coalesce(url, F.lit("")), AUTHORITY, 1), F.lit(":"), F.lit(1))), r"^www\.", "")
+
+
+def dedup_url(url: Column) -> Column:
+    """The form in which urls are compared: no fragment, scheme, ``www.`` or trailing slashes; lower case; the query stays."""
+    return F.lower(F.regexp_replace(F.regexp_replace(F.substring_index(F.coalesce(url, F.lit("")), "#", 1), r"^https?://(www\.)?", ""), "/+$", ""))
+
+
+def url_id(url: Column) -> Column:
+    """First 16 digits of sha1."""
+    return F.substring(F.sha1(url), 1, 16)
+
+
+def raw_path(url: Column) -> Column:
+    """Path of an absolute url, with its slashes."""
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+
+
+def path_query(url: Column) -> Column:
+    """Path, ``?`` and query (``?`` also without a query)."""
+    return F.concat(raw_path(url), F.lit("?"), F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^?#]*\?([^#]*)", 1))
+
+
+def parents(host: Column) -> Column:
+    """A host and all its parent domains."""
+    parts = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
