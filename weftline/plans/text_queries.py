@@ -245,7 +245,7 @@ REASON_SQL = rf"""pages as (select distinct page_id, url, lang, wet_text, {words
     s as ({STOP_SQL}), rep as ({repetition_sql('apply_filters', 'page_id', 'wet_text')}),
     q as (select *, {quality_sql('coalesce(wet_text, chr(32))')} as quality from pages),
     reasons as (select q.page_id, q.url, q.lang, coalesce('gopher_quality:' || quality, 'gopher_repetition:' || why,
-        case when len(list_filter(list_transform({words_sql('lower(strip_accents(coalesce(wet_text, chr(32))))')}, lambda x: regexp_replace(x, '^{EDGE_SQL}+|{EDGE_SQL}+$', '', 'g')), lambda x: list_contains(s.stop, x))) < 5 then 'wura_stopwords' end) as reason
+        case when s.stop is not null and len(list_filter(list_transform({words_sql('lower(strip_accents(coalesce(wet_text, chr(32))))')}, lambda x: regexp_replace(x, '^{EDGE_SQL}+|{EDGE_SQL}+$', '', 'g')), lambda x: list_contains(s.stop, x))) < 5 then 'wura_stopwords' end) as reason
         from q left join rep using (page_id) left join s using (lang))"""
 
 
