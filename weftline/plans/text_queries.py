@@ -251,7 +251,7 @@ REASON_SQL = rf"""pages as (select distinct page_id, url, lang, wet_text, {words
 
 def reasoned(spark: SparkSession, d: str) -> DataFrame:
     pages = _pages(spark, d).select("page_id", "url", "lang", F.coalesce("wet_text", F.lit("")).alias("text"), F.col("wet_text").isNull().alias("absent")).distinct().drop("absent")
-    return rules.with_reason(pages.join(_stops(spark, d), "lang", "left"))
+    return rules.with_reason(pages, _stops(spark, d))
 
 
 @query(f"with {REASON_SQL} select page_id, reason from reasons")
