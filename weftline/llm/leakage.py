@@ -68,6 +68,8 @@ class Index:
         """Distinct rows (document, item, place in the words minus place in the item)."""
         found = []
         for span in self.spans:
+            if len(words) < span:
+                continue
             whole = doc[: len(doc) - span + 1] == doc[span - 1 :]
             for s in range(3):
                 h = seeds(words, span, s)

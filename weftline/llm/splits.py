@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.functions.urls import host_label, host_name
+from weftline.operators.components import components, star_edges
 from weftline.session import cut, shared_dir
 
 COMPONENTS = "node string, component string, split string, status string, rows long"
@@ -41,40 +42,6 @@ def record_nodes(records: DataFrame, doc_col: str = "doc_id", host_col: str = "h
     return records.select(node.alias("node"), doc.alias("doc"))
 
 
-def star_edges(pairs: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, from each document's smallest node to its others; ``pairs``: distinct (node, doc)."""
-    root = pairs.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc", "a")
-    return pairs.join(root, "doc").where("node > a").select("a", F.col("node").alias("b")).distinct()
-
-
-def pointer_jump(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node on an edge; the component is its smallest node."""
-    edges = cut(edges.where("a != b"), "edges")
-    labels: DataFrame | None = None
-    for _ in range(most_rounds):
-        if edges.isEmpty():
-            break
-        both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a"))
-        parents = cut(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("parent")), "parents")
-        while True:  # jump until every pointer is a root's
-            up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-            jumped = cut(parents.join(up, "parent").select("node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")), "parents")
-            parents = jumped.select("node", "parent")
-            if jumped.where("moved").isEmpty():
-                break
-        roots = parents.withColumnRenamed("parent", "root")
-        if labels is None:
-            labels = roots.select("node", F.col("root").alias("component"))
-        else:
-            labels = labels.join(roots.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
-        labels = cut(labels, "labels")
-        ends = edges.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
-        edges = cut(ends.where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
-    if labels is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return labels
-
-
 def _unit(key: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) / float(1 << 40)
 
@@ -103,10 +70,10 @@ def assign_splits(records: DataFrame, prior: DataFrame | None = None, shares: di
     holders = docs.select(F.concat(F.lit("of:"), "doc").alias("marker"), "node").groupBy("marker").agg(F.min("node").alias("node"))
     of = prior.select("node", F.col("component").alias("old"))
     met = holders.join(of.withColumnRenamed("node", "marker"), "marker").select(F.col("old").alias("a"), F.col("node").alias("b"))
-    edges = star_edges(docs).union(met)
+    edges = star_edges(docs, ["doc"], "node").union(met)
     for end in ("a", "b"):  # only components are merged, never the nodes they already hold
         edges = edges.join(of.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("old", end)).select("a", "b")
-    joined = pointer_jump(edges)
+    joined = components(edges)
     weights = nodes.groupBy("node").agg(F.count("*").alias("added"))
     known = weights.join(prior.withColumnRenamed("component", "old"), "node", "full_outer").select(
         "node", F.coalesce("old", "node").alias("base"), "old", F.col("split").alias("old_split"),
@@ -142,28 +109,28 @@ def assign_splits(records: DataFrame, prior: DataFrame | None = None, shares: di
     return members.select("node", "component", "rows").join(decided, "component").select("node", "component", "split", "status", "rows")
 
 
-def persist(components: DataFrame, path: str | None = None) -> str:
+def persist(table: DataFrame, path: str | None = None) -> str:
     """Write a component table as a new version and return its path, to be read as the next call's ``prior``."""
-    path = path or f"{shared_dir(components.sparkSession)}/components-{uuid.uuid4().hex}"
-    components.write.parquet(path)
+    path = path or f"{shared_dir(table.sparkSession)}/components-{uuid.uuid4().hex}"
+    table.write.parquet(path)
     return path
 
 
-def record_splits(records: DataFrame, components: DataFrame, **cols: str) -> DataFrame:
+def record_splits(records: DataFrame, table: DataFrame, **cols: str) -> DataFrame:
     """(node, doc, split) of each record, by its node."""
-    return record_nodes(records, **cols).join(components.select("node", "component", "split"), "node")
+    return record_nodes(records, **cols).join(table.select("node", "component", "split"), "node")
 
 
-def split_shares(components: DataFrame) -> DataFrame:
+def split_shares(table: DataFrame) -> DataFrame:
     """(split, components, rows, share)."""
-    sums = components.groupBy("split").agg(F.count_distinct("component").alias("components"), F.sum("rows").alias("rows"))
+    sums = table.groupBy("split").agg(F.count_distinct("component").alias("components"), F.sum("rows").alias("rows"))
     total = F.sum("rows").over(Window.partitionBy(F.lit(1)))  # over one row a split
     return sums.select("split", "components", "rows", F.round(F.col("rows") / total, 6).alias("share"))
 
 
-def linked_hosts(components: DataFrame) -> DataFrame:
+def linked_hosts(table: DataFrame) -> DataFrame:
     """Pairs (host_a, host_b) of hosts in one component, host_a < host_b."""
-    hosts = components.where(F.col("node").startswith("host:")).select("component", F.substring("node", 6, 4000).alias("host"))
+    hosts = table.where(F.col("node").startswith("host:")).select("component", F.substring("node", 6, 4000).alias("host"))
     several = hosts.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
     some = hosts.join(several, "component")
     return some.select("component", F.col("host").alias("host_a")).join(some.select("component", F.col("host").alias("host_b")), "component").where("host_a < host_b").select("host_a", "host_b")
