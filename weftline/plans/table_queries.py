@@ -256,3 +256,35 @@ def nation_revenue(spark: SparkSession, d: str) -> DataFrame:
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
     return rows.select("event_type", F.col("w.start").alias("start"), "n", "total")
+
+
+EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+@query("select event_type, time_bucket(interval '1 hour', ts) as start, count(*) as n, round(sum(value), 2) as total from events group by 1, 2")
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The windowed counts as a stream with a watermark and duplicate removal, run over all events."""
+    from weftline.streaming.ingest import run_windowed_counts
+
+    return run_windowed_counts(spark, d, "events.parquet", EVENT)
+
+
+@query("select doc_id, length(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '\\s+', ' ', 'g')) > 0 as has_text from documents where text is not null")
+def html_extract(spark: SparkSession, d: str) -> DataFrame:
+    """Main text of pages made of the documents' texts with navigation and scripts around them."""
+    from weftline.sources.readers import html_text
+
+    escaped = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page = F.concat(F.lit("<html><head><script>var a=1;</script></head><body><nav>Menu</nav><article><p>"), escaped, F.lit("</p></article><footer>x</footer></body></html>"))
+    pages = table(spark, d, "documents").where("text is not null").select("doc_id", page.alias("html"))
+    return pages.select("doc_id", (F.length(html_text("html")) > 0).alias("has_text"))
+
+
+@query("select page_id, count(*) as links from (select distinct page_id, url from apply_filters where url is not null) group by 1")
+def html_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links by pattern from pages made of the tables' urls."""
+    from weftline.sources.readers import anchors
+
+    pages = table(spark, d, "apply_filters").where("url is not null").select("page_id", "url").distinct()
+    html = pages.groupBy("page_id").agg(F.concat_ws("\n", F.collect_list(F.concat(F.lit("<a class='x' href=\""), "url", F.lit('">x</a>')))).alias("html"))
+    return html.select("page_id", F.size(anchors(F.col("html"))).cast("long").alias("links"))
