@@ -12,8 +12,8 @@ split with the greatest deficit; the small rest is drawn by a seeded hash in pro
 Scale: edges are stars (document to its smallest host), never pairs; every join has one row a key on one side, and
 AQE splits a hot node's other side. Rounds are logarithmic in the longest chain; each is written to the shared folder.
 Nulls: a null or blank doc_id joins nothing; a host that is null or a placeholder is replaced by the url's; a record
-without a host is kept with its document alone, one without both gets a split by hash of its whole row (``row:``
-nodes). Duplicate rows change weights only. Empty tables give an empty table.
+without a host is kept with its document alone, one without both gets a split by hash of its row but the text
+(``row:`` nodes). Duplicate rows change weights only. Empty tables give an empty table.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def record_nodes(records: DataFrame, doc_col: str = "doc_id", host_col: str = "h
     """(node, doc): ``host:<host>``, or ``doc:<doc_id>`` or ``row:<hash>`` of a record without a host."""
     host = F.coalesce(host_label(F.col(host_col)), host_name(F.col(url_col)))
     doc = F.when(F.trim(F.col(doc_col).cast("string")) != "", F.col(doc_col).cast("string"))
-    row = F.sha2(F.to_json(F.struct(*(records[c] for c in records.columns))), 256)
+    row = F.sha2(F.to_json(F.struct(*(records[c] for c in records.columns if c != "text"))), 256)  # the texts aren't read
     node = F.when(host.isNotNull(), F.concat(F.lit("host:"), host)).when(doc.isNotNull(), F.concat(F.lit("doc:"), doc)).otherwise(F.concat(F.lit("row:"), row))
     return records.select(node.alias("node"), doc.alias("doc"))
 
