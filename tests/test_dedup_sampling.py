@@ -80,12 +80,13 @@ def test_greedy_fill_equals_a_loop(spark, walk):
     assert got == want
 
 
-def test_site_cap_invariants(spark):
+@pytest.mark.parametrize("walk", [0, 1_000_000])
+def test_site_cap_invariants(spark, walk):
     rows = [(i, "x", "big" if i < 60 else f"s{i % 7}", 10) for i in range(120)] + [(1000, "y", None, 5)]
     docs = spark.createDataFrame(rows, "i long, g string, s string, n long")
-    kept = sampling.site_cap(docs, 0.2, "i", "n", "g", "s").join(docs, ["g", "i"]).where("g = 'x'").groupBy("s").agg(F.sum("n").alias("n")).collect()
+    kept = sampling.site_cap(docs, 0.2, "i", "n", "g", "s", most_walked=walk).join(docs, ["g", "i"]).where("g = 'x'").groupBy("s").agg(F.sum("n").alias("n")).collect()
     total = sum(r["n"] for r in kept)
-    assert all(r["n"] <= 0.2 * total + 1e-9 for r in kept) and total > 400
+    assert all(r["n"] <= 0.2 * total + 1e-9 for r in kept) and total == 750
 
 
 def test_budget_prefix_stops_at_first_overflow(spark):

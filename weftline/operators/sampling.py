@@ -7,6 +7,8 @@ running sum first, and only the boundary is walked: see ``greedy_fill``.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,14 +78,39 @@ def _walk(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.iloc[picked][["g", "i"]]
 
 
-def site_cap(docs: DataFrame, share: float, id_col: str, size: str, group: str, site: str, seed: int = 0, most_rounds: int = 200) -> DataFrame:
+def _capped(rows: pd.DataFrame, share: float) -> pd.DataFrame:
+    """One group's site cap, on rows (g, i, n, s, o)."""
+    rows = rows.sort_values(["o", "i"])
+    sites = {s: part for s, part in rows.groupby("s")}
+    tokens = {s: int(part["n"].sum()) for s, part in sites.items()}
+    while tokens:
+        total = sum(tokens.values())
+        worst = min(tokens, key=lambda s: (-tokens[s], s))
+        if tokens[worst] <= share * total:
+            break
+        part = sites[worst]
+        sites[worst] = part.iloc[_fill(part["n"].tolist(), math.floor(share / (1 - share) * (total - tokens[worst])))]
+        tokens[worst] = int(sites[worst]["n"].sum())
+        if not tokens[worst]:
+            del sites[worst], tokens[worst]
+    return pd.concat(sites.values())[["g", "i"]] if sites else rows.iloc[:0][["g", "i"]]
+
+
+def site_cap(docs: DataFrame, share: float, id_col: str, size: str, group: str, site: str, seed: int = 0, most_rounds: int = 200, most_walked: int = 1_000_000) -> DataFrame:
     """(group, id) kept so that no site has more than ``share`` of its group's tokens.
 
+    Groups of at most ``most_walked`` rows are walked in one go each; else rounds over all groups do the same.
+
     While the largest site (of equals the first by name) exceeds the share, a greedy random subset of it that fits
     share / (1 - share) of the others' tokens is kept. Sites over the share are few (at most 1 / share at a time),
     so only their rows are walked; the totals are one aggregation a round.
     """
     rows = cut(docs.select(F.col(group).alias("g"), F.col(id_col).alias("i"), F.col(size).cast("long").alias("n"), F.coalesce(site, F.lit("")).alias("s")), "cap")
+    largest = rows.groupBy("g").count().agg(F.max("count")).first()[0] or 0
+    if largest <= most_walked:
+        ordered = rows.withColumn("o", seeded_order(seed, F.col("i")))
+        walked = ordered.groupBy("g").applyInPandas(lambda x: _capped(x, share), f"g {rows.schema['g'].dataType.simpleString()}, i {rows.schema['i'].dataType.simpleString()}")
+        return walked.select(F.col("g").alias(group), F.col("i").alias(id_col))
     for _ in range(most_rounds):
         sums = rows.groupBy("g", "s").agg(F.sum("n").alias("tokens"))
         total = F.sum("tokens").over(Window.partitionBy("g"))
