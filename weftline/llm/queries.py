@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import boilerplate, consensus, language, leakage, packing, pii, quality, repetition, splits
+from weftline.llm.oracles import ORACLES
 from weftline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,4 +146,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
