@@ -176,7 +176,8 @@ def repetition_outliers(stats: DataFrame, least_group: int = 60) -> DataFrame:
 def repetitive_pages(pages: DataFrame, share: float = 0.4, excess: float = 0.28, n: int = N, least_group: int = 60, **cols: str) -> DataFrame:
     """Outliers of which at least ``share`` of the words repeat, with their statistics: the exact check after the rejection.
 
-    ``excess``: least share beyond the first occurrences, which a refrain and a title printed twice don't reach.
+    ``excess``: least share beyond the first occurrences, which a refrain and a title printed twice don't reach; it
+    isn't asked of a page of which half or more repeats.
     """
     stats = cut(repetition_statistics(pages, n, **cols), "repetition")
-    return repetition_outliers(stats, least_group).where((F.col("words") > 0) & (F.col("repeated") >= share * F.col("words")) & (F.col("excess") >= excess * F.col("words")))
+    return repetition_outliers(stats, least_group).where((F.col("words") > 0) & (F.col("repeated") >= share * F.col("words")) & ((F.col("excess") >= excess * F.col("words")) | (F.col("repeated") >= 0.5 * F.col("words"))))
