@@ -119,9 +119,9 @@ def site_cap(docs: DataFrame, share: float, id_col: str, size: str, group: str,
         over = cut(worst.select("g", "s", F.floor(share / (1 - share) * (F.col("total") - F.col("tokens"))).alias("budget")), "over")
         if over.isEmpty():
             break
-        own = rows.join(F.broadcast(over.select("g", "s")), ["g", "s"], "left_semi")  # one row a group
+        own = rows.join(over.select("g", "s"), ["g", "s"], "left_semi")
         kept = greedy_fill(own.select(F.col("g"), F.col("i"), F.col("n")), over.select("g", "budget"), "i", "n", "g", seed)
-        others = rows.join(F.broadcast(over.select("g", "s")), ["g", "s"], "left_anti")
+        others = rows.join(over.select("g", "s"), ["g", "s"], "left_anti")
         rows = cut(others.unionByName(own.join(kept, ["g", "i"], "left_semi")), "cap")
     return rows.select(F.col("g").alias(group), F.col("i").alias(id_col))
 

@@ -144,9 +144,8 @@ POOL = "snapshot < (select max(snapshot) from documents)"
 
 def _pool(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = docs_of(spark, d)
-    last = docs.agg(F.max("snapshot").alias("last"))
-    both = docs.join(F.broadcast(last))  # one row
-    return both.where("snapshot < last"), both.where("snapshot = last")
+    last = docs.agg(F.max("snapshot")).first()[0]  # one value
+    return docs.where(F.col("snapshot") < last), docs.where(F.col("snapshot") == last)
 
 
 @query(f"select doc_id from documents where not (doc_id in (select doc_id from (select doc_id, row_number() over (partition by source, md5(text) order by {dedup_url_sql('url')}, doc_id) as n from documents where text is not null) where n > 1))")
