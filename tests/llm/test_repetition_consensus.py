@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from weftline.llm import consensus as C
 from weftline.llm import repetition as R
@@ -67,6 +68,24 @@ def test_repetitive_pages(spark):
     assert R.repetitive_pages(pages(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("copies", [50, 200])
+def test_copies_of_a_repetitive_page_are_found(spark, copies):
+    plain = [(i, f"https://a.example/{i}", "hau_Latn", text(i)) for i in range(100)]
+    copied = "\n".join(line for i in range(4) for line in [text(1000 + i, 24)] * 3) + "\n" + text(2000, 100)
+    bad = [(1000 + i, f"https://b.example/{i}", "hau_Latn", copied) for i in range(copies)]
+    other = [(5000, "https://c.example/x", "ibo_Latn", text(3000, 40) + "\n" + text(3000, 40) + "\n" + text(3001, 60))]
+    found = R.repetitive_pages(pages(spark, plain + bad + other)).collect()
+    assert sorted(r["page_id"] for r in found) == [*(r[0] for r in bad), 5000]
+
+
+def test_outliers_count_a_page_once_and_stand_a_third_of_copies(spark):
+    plain = [(i, f"https://a.example/{i}", "hau_Latn", text(i)) for i in range(100)]
+    copied = "\n".join(line for i in range(4) for line in [text(1000 + i, 24)] * 3)
+    bad = [(1000 + i, f"https://b.example/{i}", "hau_Latn", copied) for i in range(50)]
+    for rows in (plain + bad, plain + bad[:1] * 200):
+        assert sorted(r["page_id"] for r in R.outlying_pages(pages(spark, rows)).collect()) == sorted({r[0] for r in rows if r[0] >= 1000})
+
+
 def labels(spark, rows):
     return spark.createDataFrame([(*r, "2024-01-01 00:00:00") for r in rows], "doc_id string, annotator string, label int, status string, t string").selectExpr("*", "cast(t as timestamp_ntz) as labelled_at", "1 as agreement")
 

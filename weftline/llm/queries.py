@@ -68,6 +68,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetitive_pages(table(spark, d, "apply_filters")).select("page_id")
 
 
+def p4_outliers(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.outlying_pages(table(spark, d, "apply_filters")).select("page_id")
+
+
 def p4_statistics(spark: SparkSession, d: str) -> DataFrame:
     stats = repetition.repetition_statistics(table(spark, d, "apply_filters"))
     share = F.when(F.col("words") > 0, F.col("repeated") / F.col("words")).otherwise(0.0)
@@ -142,7 +146,7 @@ def p9_placeholders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_languages, p1_passages, p2_found, p2_splits, p2_incremental, p3_found, p3_lines, p3_clean, p4_found, p4_statistics, p5_found, p5_annotators, p5_agreement, p6_found, p6_statistics, p6_classes, p7_sequences, p7_report, p8_found, p8_overlaps, p9_found, p9_surrogates, p9_placeholders)}
+    return {f.__name__: f for f in (p1_found, p1_languages, p1_passages, p2_found, p2_splits, p2_incremental, p3_found, p3_lines, p3_clean, p4_found, p4_outliers, p4_statistics, p5_found, p5_annotators, p5_agreement, p6_found, p6_statistics, p6_classes, p7_sequences, p7_report, p8_found, p8_overlaps, p9_found, p9_surrogates, p9_placeholders)}
 
 
 def oracle_sql() -> dict[str, str]:

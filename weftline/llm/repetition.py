@@ -6,9 +6,12 @@ words (no case, punctuation, marks or digits); a single word between two repeate
 that an exchanged word doesn't break a passage. The statistics are transformed (logit, logarithm) and put on a
 fixed grid, so that a group of any size is at most a few thousand weighted cells: the minimum-covariance-
 determinant estimate of each (language, source) group and of each language is computed over all its rows from
-the cells. A page is rejected if its Mahalanobis distance exceeds the chi-square quantile on the repetitive side.
+the cells. A page is an outlier if its Mahalanobis distance exceeds the chi-square quantile on the repetitive side.
+Whether a page is repetitive is judged by its own words: an estimate from other pages would take repetition for the
+norm where much of a group, or of the corpus, repeats itself.
 
-Scale: one pass over the texts; only cells (with counts) are shuffled, so a hot host costs no more than others.
+Scale: one pass over the texts; the share check shuffles only the pages found, the outliers the narrow statistics and
+cells (with counts), so a hot host costs no more than others.
 Nulls: a null or empty text, or one under ``n`` words, has no repetition; null language and host are groups of
 their own. Duplicate rows come out once. An empty table gives an empty result; other columns are ignored.
 """
@@ -30,6 +33,7 @@ from weftline.session import cut
 N = 5
 STEP, EDGE = 0.25, 6.0
 CHI2_975_3 = 9.348  # quantile of the chi-square distribution with 3 degrees of freedom at 0.975
+HALF_3 = 2.455  # a normal distribution's scatter to that of its inner half, in 3 dimensions
 CELL = ["c1", "c2", "c3"]
 STATS = "page_id {id}, lang string, host string, words int, repeated int, excess int, top int, c1 int, c2 int, c3 int"
 
@@ -107,7 +111,7 @@ def _moments(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mean, (d * w[:, None]).T @ d / w.sum()
 
 
-def mcd(x: np.ndarray, w: np.ndarray, share: float = 0.75, starts: int = 8, steps: int = 30) -> tuple[np.ndarray, np.ndarray]:
+def mcd(x: np.ndarray, w: np.ndarray, share: float = 0.5, starts: int = 8, steps: int = 30) -> tuple[np.ndarray, np.ndarray]:
     """Location and scatter of the ``share`` of the weight with the least determinant; concentration steps from fixed starts.
 
     x: cells, w: their counts. The grid's rounding variance is added, so that exact fits stay invertible.
@@ -146,6 +150,7 @@ def mcd(x: np.ndarray, w: np.ndarray, share: float = 0.75, starts: int = 8, step
 def rejected(x: np.ndarray, w: np.ndarray, cutoff: float = CHI2_975_3) -> np.ndarray:
     """Cells beyond the cutoff of the reweighted estimate, on the side of more repetition."""
     mean, cov = mcd(x, w)
+    cov = cov * HALF_3
     inside = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean) <= cutoff
     if inside.any():
         mean, cov = _moments(x[inside], w[inside])
@@ -162,22 +167,29 @@ def repetition_outliers(stats: DataFrame, least_group: int = 60) -> DataFrame:
     """The rows of ``stats`` that their (language, source) group, their language or the whole corpus rejects as too repetitive.
 
     Groups under ``least_group`` rows have no estimate of their own; the wider ones also catch groups in which
-    repetition is the rule.
+    repetition is the rule. Cells count each page once, and half of a scope's pages may repeat before its estimate does.
     """
+    stats = stats.dropDuplicates(["page_id"])
     cells = stats.groupBy("lang", "host", *CELL).agg(F.count("*").alias("n"))
     big = cells.groupBy("lang", "host").agg(F.sum("n").alias("size")).where(F.col("size") >= least_group).select("lang", "host")
     here = cells.join(big, ["lang", "host"], "left_semi").groupBy("lang", "host").applyInPandas(lambda g: _rejected_cells(g, ["lang", "host"]), "lang string, host string, c1 int, c2 int, c3 int")
     wide = cells.withColumn("scope", F.explode(F.array("lang", F.lit("*")))).groupBy("scope", *CELL).agg(F.sum("n").alias("n"))
     there = wide.groupBy("scope").applyInPandas(lambda g: _rejected_cells(g, ["scope"]), "scope string, c1 int, c2 int, c3 int")
     scoped = there.join(cells.select("lang", "host", *CELL), CELL).where((F.col("scope") == F.col("lang")) | (F.col("scope") == "*")).select("lang", "host", *CELL)
-    return stats.join(here.unionByName(scoped), ["lang", "host", *CELL], "left_semi").dropDuplicates(["page_id"])
+    return stats.join(here.unionByName(scoped), ["lang", "host", *CELL], "left_semi")
 
 
-def repetitive_pages(pages: DataFrame, share: float = 0.4, excess: float = 0.28, n: int = N, least_group: int = 60, **cols: str) -> DataFrame:
-    """Outliers of which at least ``share`` of the words repeat, with their statistics: the exact check after the rejection.
+def repetitive_pages(pages: DataFrame, share: float = 0.4, excess: float = 0.28, n: int = N, **cols: str) -> DataFrame:
+    """Pages of which at least ``share`` of the words repeat, with their statistics, whatever other pages do.
 
     ``excess``: least share beyond the first occurrences, which a refrain and a title printed twice don't reach; it
     isn't asked of a page of which half or more repeats.
     """
-    stats = cut(repetition_statistics(pages, n, **cols), "repetition")
-    return repetition_outliers(stats, least_group).where((F.col("words") > 0) & (F.col("repeated") >= share * F.col("words")) & ((F.col("excess") >= excess * F.col("words")) | (F.col("repeated") >= 0.5 * F.col("words"))))
+    stats = repetition_statistics(pages, n, **cols)
+    found = stats.where((F.col("words") > 0) & (F.col("repeated") >= share * F.col("words")) & ((F.col("excess") >= excess * F.col("words")) | (F.col("repeated") >= 0.5 * F.col("words"))))
+    return found.dropDuplicates(["page_id"])
+
+
+def outlying_pages(pages: DataFrame, n: int = N, least_group: int = 60, **cols: str) -> DataFrame:
+    """Pages outlying for more repetition in their group, language or corpus, with their statistics; where half have none, any is outlying."""
+    return repetition_outliers(cut(repetition_statistics(pages, n, **cols), "repetition"), least_group)
