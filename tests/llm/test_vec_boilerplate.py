@@ -67,5 +67,17 @@ def test_many_containers_of_a_host(spark, monkeypatch):
     assert bitmaps.count() == 3 and B.frequent_lines(bitmaps, 5).first()["pages"] == 5
 
 
+def test_spellings_are_counted_over_all_containers(spark, monkeypatch):
+    monkeypatch.setattr(B, "CHUNK", 2)
+    rows = [(i, f"https://c.example/{i}", f"{('Labari', 'LABARI!', 'labari 1')[i % 3]}\n{'abcd'[i % 4] * 3}") for i in range(12)]
+    (report,) = (r for r in B.line_report(frame(spark, rows), 5).collect())
+    assert (report["pages"], report["variants"]) == (12, 3)
+
+
+def test_a_line_is_spelled_alike_at_the_end_of_the_texts():
+    _, _, raws = vec.line_hashes(["Menu\nHome", "Home", "Menu"])
+    assert raws[0] == raws[3] != raws[1] == raws[2]
+
+
 def test_empty_table(spark):
     assert B.repeated_lines(frame(spark, [])).count() == 0 and B.line_report(frame(spark, [])).count() == 0

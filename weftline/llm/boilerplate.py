@@ -29,7 +29,7 @@ from weftline.session import cut, shuffle_partitions
 CHUNK = 1 << 16
 ARRAY, BITMAP, RUNS = 0, 1, 2
 PAGES = "page_id long, host long, path long, many boolean, keys array<long>, raws array<int>"
-CONTAINERS = "host long, line long, chunk int, pages int, variants int, kind int, data binary"
+CONTAINERS = "host long, line long, chunk int, pages int, kind int, data binary"
 
 
 # --- containers
@@ -77,7 +77,7 @@ def _containers(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
         first = np.flatnonzero(new)
         sizes = np.diff(np.r_[first, len(host)])
         take = np.flatnonzero((sizes >= least) | many[first])
-        out = ([], [], [], [], [], [], [])
+        out = ([], [], [], [], [], [])
         for i in take:
             a, b = first[i], first[i] + sizes[i]
             lows: np.ndarray | None = None
@@ -87,10 +87,10 @@ def _containers(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
                 lows = own if lows is None else union(lows, own)
             if len(lows) >= least or many[a]:
                 kind, data = encode(lows)
-                for column, value in zip(out, (host[a], line[a], chunk[a], len(lows), len(marks) - 1, kind, data)):
+                for column, value in zip(out, (host[a], line[a], chunk[a], len(lows), kind, data)):
                     column.append(value)
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["host", "line", "chunk", "pages", "variants", "kind", "data"])
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["host", "line", "chunk", "pages", "kind", "data"])
 
     for batch in batches:
         cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
@@ -121,24 +121,27 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # --- pages and lines
 
-def _with_keys(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+def _with_keys(batches: Iterator[pa.RecordBatch], text: str, whole: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         at = b.schema.get_field_index(text)
         for start, stop in chunks(b.column(at).to_pylist()):
             part = b.slice(start, stop - start)
             counts, keys, raws = line_hashes(part.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(n) for n in ("page_id", "host", "path")), list_array(pa.array(keys.view(np.int64)), counts), list_array(pa.array((raws >> np.uint64(40)).astype(np.int32)), counts)],
+                [*(part.column(n) for n in ("page_id", "host", "path")), list_array(pa.array(keys.view(np.int64)), counts), list_array(pa.array(raws.view(np.int64) if whole else (raws >> np.uint64(40)).astype(np.int32)), counts)],
                 ["page_id", "host", "path", "keys", "raws"],
             )
 
 
-def numbered_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "wet_text") -> DataFrame:
-    """page_id, host and path (hashes), ord (dense in the host), keys and raws (a hash of each line's letters, and as written)."""
+def numbered_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "wet_text", whole: bool = False) -> DataFrame:
+    """page_id, host, ord (dense in the host), keys and raws (a hash of each line's letters, and as written).
+
+    ``whole``: all 64 bits of raws, to count spellings; 24 do to part a line's rows before they are united.
+    """
     slim = pages.select(F.col(id_col).alias("page_id"), host_name(F.col(url_col)).alias("h"), url_path(F.col(url_col)).alias("p"), F.col(text_col).alias("text")).where("h is not null")
     slim = slim.select("page_id", F.xxhash64("h").alias("host"), F.xxhash64("p").alias("path"), "text")
     id_type = slim.schema["page_id"].dataType.simpleString()
-    keyed = slim.mapInArrow(lambda it: _with_keys(it, "text"), f"page_id {id_type}, host long, path long, keys array<long>, raws array<int>")
+    keyed = slim.mapInArrow(lambda it: _with_keys(it, "text", whole), f"page_id {id_type}, host long, path long, keys array<long>, raws array<{'long' if whole else 'int'}>")
     salts = shuffle_partitions(pages.sparkSession)
     salted = keyed.withColumn("salt", F.pmod("path", F.lit(salts)))
     rank = F.dense_rank().over(Window.partitionBy("host", "salt").orderBy("path"))
@@ -160,8 +163,8 @@ def line_bitmaps(numbered: DataFrame, least: int) -> DataFrame:
 
 
 def frequent_lines(bitmaps: DataFrame, least: int) -> DataFrame:
-    """(host, line, pages, variants) of the lines on ``least`` pages or more; cardinalities are exact."""
-    return bitmaps.groupBy("host", "line").agg(F.sum("pages").alias("pages"), F.max("variants").alias("variants")).where(F.col("pages") >= least)
+    """(host, line, pages) of the lines on ``least`` pages or more; cardinalities are exact."""
+    return bitmaps.groupBy("host", "line").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= least)
 
 
 def repeated_lines(pages: DataFrame, least: int = 5, id_col: str = "page_id", url_col: str = "url", text_col: str = "wet_text") -> DataFrame:
@@ -182,11 +185,13 @@ def repeated_lines(pages: DataFrame, least: int = 5, id_col: str = "page_id", ur
 
 
 def line_report(pages: DataFrame, least: int = 5, id_col: str = "page_id", url_col: str = "url", text_col: str = "wet_text") -> DataFrame:
-    """The lines themselves: (host, line, pages, variants), with one spelling of each line."""
-    numbered = numbered_pages(pages, id_col, url_col, text_col)
+    """The lines themselves: (host, line, pages, variants), with one spelling of each line; variants counts its spellings on the whole host."""
+    numbered = numbered_pages(pages, id_col, url_col, text_col, whole=True)
     frequent = frequent_lines(line_bitmaps(numbered, least), least)
-    places = numbered.select("page_id", "host", F.posexplode("keys").alias("line_no", "line")).join(frequent, ["host", "line"], "left_semi")
-    sample = places.groupBy("host", "line").agg(F.min(F.struct("page_id", "line_no")).alias("at"))
+    lines = numbered.select("page_id", "host", F.posexplode(F.arrays_zip("keys", "raws")).alias("line_no", "x")).select("page_id", "host", "line_no", F.col("x.keys").alias("line"), F.col("x.raws").alias("raw"))
+    places = lines.join(frequent, ["host", "line"], "left_semi")
+    spellings = places.groupBy("host", "line", "raw").agg(F.min(F.struct("page_id", "line_no")).alias("at"))
+    sample = spellings.groupBy("host", "line").agg(F.min("at").alias("at"), F.count("*").alias("variants"))
     texts = pages.select(F.col(id_col).alias("page_id"), host_name(F.col(url_col)).alias("host_name"), F.col(text_col).alias("text")).where("host_name is not null")
     shown = frequent.join(sample, ["host", "line"]).join(texts, F.col("at.page_id") == texts["page_id"])
     example = F.element_at(F.split("text", "\n"), (F.col("at.line_no") + 1).cast("int"))

@@ -165,8 +165,8 @@ def line_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     before = np.r_[np.int32(0), nth][offsets[:-1]]
     keys = segment_hash(canon[cp[kept]], offsets, nth - np.repeat(before, np.diff(offsets)))
     keys[np.r_[np.int32(0), nth][offsets[1:]] == before] = 0
-    starts = np.r_[0, newline + 1, len(cp)]
-    return counts, keys, segment_hash(values[cp], starts)
+    starts = np.r_[0, newline + 1, len(cp) + 1]  # the last line is hashed with a newline, as all others are
+    return counts, keys, segment_hash(values[np.r_[cp, cp.dtype.type(10)]], starts)
 
 
 def list_array(values: pa.Array, counts: np.ndarray) -> pa.Array:
