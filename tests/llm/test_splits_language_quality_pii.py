@@ -1,3 +1,4 @@
+import dataclasses
 import random
 import re
 
@@ -150,6 +151,20 @@ def test_surrogates_are_consistent_distinct_and_typed(spark):
     assert pii.located(df.where("false"), DETECTOR).count() == 0
 
 
+def test_parts_of_names_and_addresses_never_collide():
+    s = pii.Surrogates(b"k", NAMES, set("abcdefghijklmnopqrstuvwxyz"))
+    assert len({s.of("name", f"{chr(65 + i)}. Kosako") for i in range(26)}) == 26
+    assert len({s.of("address", f"{i} Titin Sasa") for i in range(1, 40)}) == 39
+    assert len({s.of("address", f"No. {i}/{i + 1} Sasa Street") for i in range(10, 60)}) == 50
+    assert s.of("address", "No. 5 Titin Sasa").split()[1:] == s.of("address", "5 Titin Sasa").split()
+
+
+def test_a_used_up_pool_gives_syllable_names():
+    given = {"x" + a + b: "f" for a in "abcdefghij" for b in "abcdefghijklmno"}
+    s = pii.Surrogates(b"k", dataclasses.replace(NAMES, given=NAMES.given | given), set(given))
+    assert len({s._word("given", x) for x in given} - set(given)) == 150
+
+
 def test_a_collision_takes_the_next_draw():
     s = pii.Surrogates(b"k", NAMES, set())
     s._draw = lambda kind, entity, attempt: attempt

@@ -24,6 +24,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
@@ -295,6 +296,7 @@ class Detector:
 
 # --- surrogates
 
+MOST_DRAWS = 1000
 SYLLABLES = [c + v for c in "b d f g k l m n r s t w z j y".split() for v in "aeiou"]
 
 
@@ -309,13 +311,15 @@ class Surrogates:
     def _draw(self, kind: str, entity: str, attempt: int) -> int:
         return int.from_bytes(hashlib.blake2b(f"{kind}|{entity}|{attempt}".encode(), key=self.key, digest_size=16).digest(), "big")
 
-    def _unique(self, kind: str, entity: str, make) -> str:
+    def _unique(self, kind: str, entity: str, make, wider) -> str:
+        """``make`` of the first draw that is new in the text; ``wider`` (draw, step) once ``make`` seems used up, with more to draw from at each step."""
         if (kind, entity) not in self.given_to:
             attempt = 0
             while True:
-                out = make(self._draw(kind, entity, attempt))
+                n = self._draw(kind, entity, attempt)
+                out = make(n) if attempt <= MOST_DRAWS else wider(n, attempt - MOST_DRAWS)
                 low = out.lower()
-                if (low not in self.used and low not in self.originals) or attempt > 1000:
+                if low not in self.used and low not in self.originals:
                     break
                 attempt += 1
             self.used.add(low)
@@ -339,13 +343,39 @@ class Surrogates:
                     out.append(chr(65 + r))
             return "".join(out)
 
-        return self._unique(kind, entity, make)
+        return self._unique(kind, entity, make, lambda n, step: make(n) + str(step))
 
     def _word(self, kind: str, low: str) -> str:
+        def syllables(n: int, count: int) -> str:
+            return "".join(SYLLABLES[(n >> (8 * i)) % len(SYLLABLES)] for i in range(min(count, 16)))
+
         if kind == "given" and self.names.given.get(low):
             pool = GIVEN[self.names.given[low]].split()
-            return self._unique(kind, low, lambda n: pool[n % len(pool)])
-        return self._unique(kind, low, lambda n: "".join(SYLLABLES[(n >> (8 * i)) % len(SYLLABLES)] for i in range(3 + n % 2)))
+            return self._unique(kind, low, lambda n: pool[n % len(pool)], lambda n, step: syllables(n, 3 + step // 100))
+        return self._unique(kind, low, lambda n: syllables(n, 3 + n % 2), lambda n, step: syllables(n, 5 + step // 100))
+
+    def _initial(self, low: str) -> str:
+        """A letter of its own for each initial of the text; another initial of the text only if no other letter is left."""
+        if ("initial", low) not in self.given_to:
+            free = [c for c in ascii_lowercase if c not in self.used]
+            free = [c for c in free if c not in self.originals] or free
+            new = free[self._draw("initial", low, 0) % len(free)]
+            self.used.add(new)
+            self.given_to["initial", low] = new.upper()
+        return self.given_to["initial", low]
+
+    def _house(self, numbers: list[str], street: str) -> list[str]:
+        """Other house numbers, two in one street never the same."""
+
+        def make(n: int, more: int = 0) -> str:
+            out = []
+            for k, x in enumerate(numbers):
+                size = 10 ** (len(x) + more * (k == 0))
+                out.append(str(n % size).zfill(len(x)))
+                n //= size
+            return " ".join([*out, "|", street])
+
+        return self._unique("house", " ".join([*numbers, street]), make, lambda n, step: make(n, 1 + step // 100)).split(" ")[: len(numbers)]
 
     def name(self, text: str) -> str:
         def one(m: re.Match) -> str:
@@ -354,7 +384,7 @@ class Surrogates:
             if low in self.names.titles and len(w) > 1:
                 return w
             if len(w) == 1:
-                return chr(65 + self._draw("initial", low, 0) % 26)
+                return w if w == "'" else self._initial(low)
             new = self._word("given" if low in self.names.given else "family", low)
             return new.upper() if w.isupper() else new.capitalize()
 
@@ -376,7 +406,10 @@ class Surrogates:
         street = re.compile(CAP)
         fixed = {*STREETS_AFTER.split("|"), "no", "titin", "layin", "hanyar", "opopona", "rue", "plot", "house", "block", "flat"}
         named = street.sub(lambda m: m.group() if m.group().lower() in fixed else self._word("place", m.group().lower()).capitalize(), text)
-        return re.sub(r"\d+", lambda m: str(self._draw("house", text.lower() + m.group(), 0) % 10 ** len(m.group())).zfill(len(m.group())), named)
+        prefix = re.compile(rf"\b(?i:{NUMBERED})\b|[^\w']")
+        place = " ".join(re.sub(r"\d+", " ", prefix.sub(" ", text.lower())).split())
+        house = iter(self._house(re.findall(r"\d+", text), place))
+        return re.sub(r"\d+", lambda _: next(house), named)
 
 
 def replaced(text: str, entities: list[tuple[int, int, str, str]], mode: str, key: bytes, names: Names) -> str:
