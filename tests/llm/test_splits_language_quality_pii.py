@@ -93,6 +93,15 @@ def test_selection_equals_exhaustive_search_on_clear_scores(seed):
     assert (p.argmax(1) == truth).all()
 
 
+def test_every_promising_language_is_tried_and_penalised():
+    scores = np.full((60, 3), -5.0)
+    scores[:, 0] = 0
+    scores[:26, 1] = 1  # promises more in sum than the third, but gains little
+    scores[59, 2] = 25
+    chosen, _ = G.infer(scores, np.zeros(60, int), 1, 14.0)
+    assert chosen.tolist() == [[True, False, True]]
+
+
 def test_prose_and_junk(spark):
     prose = [sentence("hau_Latn", i, 12) for i in range(60)]
     stops = spark.createDataFrame([(w,) for w in sorted({w for t in prose for w in re.sub(r"[.]", "", t.lower()).split()})[:350]], "word string")

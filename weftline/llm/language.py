@@ -130,27 +130,32 @@ def infer(scores: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float, roun
     proportions of each set estimated by ``rounds`` steps of expectation-maximisation.
     """
     n_lang = scores.shape[1]
-    first = np.searchsorted(doc, np.arange(n_docs))
     some = np.bincount(doc, minlength=n_docs) > 0
 
-    def sums(x: np.ndarray) -> np.ndarray:
-        out = np.zeros((n_docs, *x.shape[1:]))
+    def sums(x: np.ndarray, doc: np.ndarray = doc, some: np.ndarray = some) -> np.ndarray:
+        out = np.zeros((len(some), *x.shape[1:]))
         if len(x):
-            out[some] = np.add.reduceat(x, first[some])
+            out[some] = np.add.reduceat(x, np.searchsorted(doc, np.flatnonzero(some)))
         return out
 
-    def em(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def em(allowed: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log likelihood of each of ``docs``, posteriors of their sentences) with the languages that each is allowed."""
+        place = np.full(n_docs, -1)
+        place[docs] = np.arange(len(docs))
+        rows = place[doc] >= 0
+        own, of = scores[rows], place[doc[rows]]
+        total_of = lambda x: sums(x, of, some[docs])
         with np.errstate(divide="ignore"):
             log_pi = np.where(allowed, -np.log(np.maximum(allowed.sum(1, keepdims=True), 1)), -np.inf)
             for step in range(rounds):
-                joint = scores + log_pi[doc]
+                joint = own + log_pi[of]
                 top = joint.max(1, keepdims=True)
                 p = np.exp(joint - top)
                 total = p.sum(1, keepdims=True)
                 p /= total
                 if step < rounds - 1:
-                    log_pi = np.log(np.where(allowed, np.maximum(sums(p) / np.maximum(sums(np.ones(len(p))), 1)[:, None], 1e-3), 0))
-        return sums((np.log(total) + top)[:, 0]), p
+                    log_pi = np.log(np.where(allowed, np.maximum(total_of(p) / np.maximum(total_of(np.ones(len(p))), 1)[:, None], 1e-3), 0))
+        return total_of((np.log(total) + top)[:, 0]), p
 
     single = sums(scores)
     chosen = np.zeros((n_docs, n_lang), bool)
@@ -162,17 +167,23 @@ def infer(scores: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float, roun
         best_now = np.where(chosen[doc], scores, -np.inf).max(1)
         promise = sums(np.maximum(scores - best_now[:, None], 0))
         promise[chosen] = 0
-        add = promise.argmax(1)
-        trial = chosen.copy()
-        trial[np.arange(n_docs), add] = True
-        open_docs &= promise.max(1) > penalty
+        best, added = value.copy(), np.full(n_docs, -1)
+        for add in np.argsort(-promise, axis=1, kind="stable").T:  # every language whose gain may exceed the penalty
+            docs = np.flatnonzero(open_docs & (promise[np.arange(n_docs), add] > penalty))
+            if not len(docs):
+                break
+            trial = chosen[docs]
+            trial[np.arange(len(docs)), add[docs]] = True
+            after = em(trial, docs)[0] - penalty * chosen[docs].sum(1)  # for each language but the first
+            better = after > best[docs]
+            best[docs[better]] = after[better]
+            added[docs[better]] = add[docs[better]]
+        open_docs &= added >= 0
         if not open_docs.any():
             break
-        after, _ = em(trial)
-        open_docs &= after - penalty > value
-        chosen[open_docs] = trial[open_docs]
-        value[open_docs] = (after - penalty)[open_docs]
-    return chosen, em(chosen)[1]
+        chosen[open_docs, added[open_docs]] = True
+        value[open_docs] = best[open_docs]
+    return chosen, em(chosen, np.arange(n_docs))[1]
 
 
 @dataclass
