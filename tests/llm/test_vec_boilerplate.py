@@ -3,7 +3,6 @@ import unicodedata
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from weftline.llm import boilerplate as B
 from weftline.llm import vec
@@ -60,11 +59,38 @@ def test_clean_and_report(spark):
     assert {(r["host_name"], r["pages"]) for r in B.line_report(frame(spark)).collect()} == {("a.example", 5)}
 
 
-def test_many_containers_of_a_host(spark, monkeypatch):
-    monkeypatch.setattr(B, "CHUNK", 2)  # ordinals spread over several containers; the driver's half of the plan
-    rows = spark.range(5).select(F.lit(1).cast("long").alias("host"), F.col("id").alias("ord"), F.array(F.lit(9).cast("long")).alias("keys"), F.array(F.lit(1)).alias("raws"))
-    bitmaps = B.line_bitmaps(rows, 5)
-    assert bitmaps.count() == 3 and B.frequent_lines(bitmaps, 5).first()["pages"] == 5
+def python_lines(rows, least):
+    def key(line):
+        low = unicodedata.normalize("NFC", unicodedata.normalize("NFD", line).lower())
+        return "".join(c for c in low if unicodedata.category(c)[0] in "LM") if any(c.isalpha() for c in low) else ""
+
+    on, out = {}, set()
+    for page, url, text in rows:
+        host, path = url.split("/")[2], url.split("/", 3)[3]
+        for line in (text or "").split("\n"):
+            if key(line):
+                on.setdefault((host, key(line)), set()).add(path)
+    for page, url, text in rows:
+        out |= {(page, i) for i, line in enumerate((text or "").split("\n")) if key(line) and len(on[url.split("/")[2], key(line)]) >= least}
+    return out
+
+
+@pytest.mark.parametrize("chunk, part, most", [(65536, 1 << 14, 400_000), (4, 1 << 14, 400_000), (65536, 7, 400_000), (3, 5, 25), (65536, 1 << 14, 10)])
+def test_any_division_of_hosts_gives_the_same_lines(spark, monkeypatch, chunk, part, most):
+    monkeypatch.setattr(B, "CHUNK", chunk)  # containers per line, parts of a host, and a buffer that parts don't fit
+    monkeypatch.setattr(B, "MOST_LINES", most)
+    rng = random.Random(chunk + part + most)
+    words = ["labari", "Wasanni", "ọ̀rọ̀", "siyasa", "LABARI!", "12", "ọrọ"]
+    rows = [(i, f"https://h{rng.randrange(4) if i % 3 else 0}.example/p{rng.randrange(60)}", "\n".join(rng.choice(words) + " " + rng.choice(["abu", "", f"{rng.choice('abcdefghij')}"]) for _ in range(rng.randrange(9)))) for i in range(300)]
+    rows += rows[:20] + [(1000 + i, "https://h0.example/same", f"labari abu\nsake {'abcdefgh'[i % 8]}") for i in range(150)]
+    assert {(r["page_id"], r["line_no"]) for r in B.repeated_lines(frame(spark, rows), 5, part=part).collect()} == python_lines(rows, 5)
+
+
+@pytest.mark.parametrize("forms", [("array", "runs"), ("bitmap", "array"), ("runs", "bitmap"), ("array", "array")])
+def test_unions_of_containers(forms):
+    sets = {"array": [1, 5, 70, 4000], "runs": list(range(100, 3000)), "bitmap": list(range(0, 40000, 3))}
+    parts = [np.array(sets[f]) for f in forms]
+    assert B.united([B.encode(p) for p in parts]).tolist() == sorted(set(parts[0]) | set(parts[1]))
 
 
 def test_spellings_are_counted_over_all_containers(spark, monkeypatch):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.vec import Flat, Words, chunks, list_array, splitmix
+from weftline.llm.vec import Flat, Words, arrow_schema, chunks, list_array, splitmix
 
 SPAN = 13
 FOUND = "doc_id {id}, item_id {item}, exact_run int, overlap int, item_words int"
@@ -172,18 +172,11 @@ def leaked_passages(documents: DataFrame, held_out: DataFrame, most_indexed: int
         w = Words(Flat([r["text"] for r in rows]))
         index = Index([r["item_id"] for r in rows], [w.hash[a:b] for a, b in zip(w.offsets[:-1], w.offsets[1:])])
         sent = documents.sparkSession.sparkContext.broadcast(index)
-        arrow = {f.name: f.type for f in _arrow_schema(schema)}
+        arrow = {f.name: f.type for f in arrow_schema(schema)}
         found = docs.mapInArrow(lambda it: _scan(it, sent.value, arrow["doc_id"], arrow["item_id"]), schema)
     return found.groupBy("doc_id", "item_id").agg(F.max("exact_run").alias("exact_run"), F.max("overlap").alias("overlap"), F.max("item_words").alias("item_words"))
 
 
-def _arrow_schema(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))
-
-
 def leaks(found: DataFrame, least: int = SPAN) -> DataFrame:
     """Those with ``least`` or more consecutive words of an item, or the whole of a shorter one."""
     return found.where(F.col("exact_run") >= F.least(F.lit(least), "item_words"))
