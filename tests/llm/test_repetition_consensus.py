@@ -41,12 +41,14 @@ def test_mcd_ignores_a_third_of_outliers():
     x = np.r_[rng.normal(0, 0.3, (700, 3)), rng.normal(5, 0.3, (240, 3))]
     mean, _ = R.mcd(x, np.ones(len(x)))
     assert np.abs(mean).max() < 0.2
-    bad = R.rejected(x, np.ones(len(x)))
+    mean, cov = R.estimate(x, np.ones(len(x)))
+    bad = R._distances(x, mean, cov) > R.CHI2_975_3
     assert bad[700:].all() and bad[:700].mean() < 0.1
 
 
 def test_mcd_of_identical_rows_and_one_row():
-    assert not R.rejected(np.zeros((1, 3)), np.array([500.0])).any()
+    mean, cov = R.estimate(np.zeros((1, 3)), np.array([500.0]))
+    assert not mean.any() and np.allclose(cov, R.FLOOR)
 
 
 def pages(spark, rows):
@@ -86,6 +88,23 @@ def test_outliers_count_a_page_once_and_stand_a_third_of_copies(spark):
         assert sorted(r["page_id"] for r in R.outlying_pages(pages(spark, rows)).collect()) == sorted({r[0] for r in rows if r[0] >= 1000})
 
 
+def titled(i):
+    """A page with its title twice and a refrain: repetition that is usual, however large its share of a short page."""
+    rng = random.Random(i)
+    title, refrain, n = text(9000 + i, rng.randrange(8, 15)), text(8000 + i, rng.randrange(7, 14)), rng.choice([50, 70, 100, 150, 220, 300])
+    return "\n".join([title, title, text(7000 + i, n), refrain, text(6000 + i, n // 5), refrain, *[refrain] * rng.randrange(2)])
+
+
+def test_the_estimate_decides_what_the_share_alone_would_not(spark):
+    usual = [(i, f"https://a.example/{i}", "hau_Latn", titled(i)) for i in range(300)]
+    bad = [(1000 + i, f"https://{'ab'[i % 2]}.example/{i}", "hau_Latn", "\n".join([text(5000 + i, 60)] * 2 + [text(4000 + i, 90)])) for i in range(20)]
+    df = pages(spark, usual + bad)
+    by_share = {r["page_id"] for r in R.repetition_statistics(df).where("repeated >= 0.4 * words").collect()}
+    found = {r["page_id"] for r in R.repetitive_pages(df).collect()}
+    kept = found - {r[0] for r in bad}
+    assert {r[0] for r in bad} <= found < by_share and len(kept) < len(by_share - found)
+
+
 def labels(spark, rows):
     return spark.createDataFrame([(*r, "2024-01-01 00:00:00") for r in rows], "doc_id string, annotator string, label int, status string, t string").selectExpr("*", "cast(t as timestamp_ntz) as labelled_at", "1 as agreement")
 

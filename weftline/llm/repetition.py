@@ -1,17 +1,21 @@
-"""Repetition inside a single document (problem 4): repeated share of the words, and robust outliers by language and source.
+"""Repetition inside a single document (problem 4): robust multivariate outliers, then the exact share of repeated words.
 
 A page's statistics are the share of words in passages that stand elsewhere on the page too, the share beyond
-each passage's first occurrence, and the count of its most frequent passage. Passages are runs of ``n`` folded
-words (no case, punctuation, marks or digits); a single word between two repeated passages counts with them, so
-that an exchanged word doesn't break a passage. The statistics are transformed (logit, logarithm) and put on a
-fixed grid, so that a group of any size is at most a few thousand weighted cells: the minimum-covariance-
-determinant estimate of each (language, source) group and of each language is computed over all its rows from
-the cells. A page is an outlier if its Mahalanobis distance exceeds the chi-square quantile on the repetitive side.
-Whether a page is repetitive is judged by its own words: an estimate from other pages would take repetition for the
-norm where much of a group, or of the corpus, repeats itself.
-
-Scale: one pass over the texts; the share check shuffles only the pages found, the outliers the narrow statistics and
-cells (with counts), so a hot host costs no more than others.
+each passage's first occurrence, and its length. Passages are runs of ``n`` folded words (no case, punctuation, marks
+or digits); a single word between two repeated passages counts with them, so that an exchanged word doesn't break a
+passage. The shares are transformed by the logit, the length by the logarithm: a title printed twice or a refrain
+makes a larger share of a shorter page, so what is usual depends on the length, as the covariances tell.
+
+Of the pages with any repetition, minimum-covariance-determinant estimates of location and scatter are made for the
+corpus, for each language and for each (language, source) group; a group's estimate is shrunk towards its
+language's, that towards the corpus', and that towards ``PRIOR``, each as if the wider one were ``SHRINK`` pages more.
+A page is rejected if its squared Mahalanobis distance under one of the three exceeds the chi-square quantile, on the
+side of more repetition; a source or a language of which repetition is the rule is so held against the wider ones.
+``p4_found`` are the rejected pages of which at least two fifths of the words repeat. An estimate is of half of its
+pages, and copies of a page count once, so copies of a repetitive page never become the norm.
+
+Scale: one pass over the texts. The statistics are counted on a fixed grid, so that a group of any size is at most a
+few thousand weighted cells; what is shuffled are statistics (map-side distinct), cells, and one estimate a group.
 Nulls: a null or empty text, or one under ``n`` words, has no repetition; null language and host are groups of
 their own. Duplicate rows come out once. An empty table gives an empty result; other columns are ignored.
 """
@@ -19,11 +23,12 @@ their own. Duplicate rows come out once. An empty table gives an empty result; o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.urls import host_name
@@ -31,11 +36,17 @@ from weftline.llm.vec import Flat, Words, chunks, splitmix
 from weftline.session import cut
 
 N = 5
-STEP, EDGE = 0.25, 6.0
-CHI2_975_3 = 9.348  # quantile of the chi-square distribution with 3 degrees of freedom at 0.975
+STEP, EDGE = 0.25, 20.0
+CHI2_999_3 = 16.266  # quantile of the chi-square distribution with 3 degrees of freedom at 0.999
+CHI2_975_3 = 9.348  # the same at 0.975, for the reweighting step
 HALF_3 = 2.455  # a normal distribution's scatter to that of its inner half, in 3 dimensions
+D = 3
+FLOOR = np.eye(D) * STEP**2 / 12  # the grid's rounding variance, so that exact fits stay invertible
+SHRINK = 60.0  # pages that a wider estimate counts for
+PRIOR = (np.array([-2.2, -2.9, 5.0]), np.diag([0.35, 0.35, 0.35]))  # a tenth repeated, a twentieth beyond first occurrences, 150 words
 CELL = ["c1", "c2", "c3"]
-STATS = "page_id {id}, lang string, host string, words int, repeated int, excess int, top int, c1 int, c2 int, c3 int"
+STATS = "page_id {id}, lang string, host string, copy long, words int, repeated int, excess int, top int, c1 int, c2 int, c3 int"
+ESTIMATE = "n double, mean array<double>, scatter array<double>"
 
 
 def repeated_words(texts: list[str | None], n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,8 +92,7 @@ def _grid(x: np.ndarray) -> np.ndarray:
 
 
 def _logit(part: np.ndarray, total: np.ndarray) -> np.ndarray:
-    p = (part + 0.5) / (total + 1.0)
-    return np.where(total > 0, np.log(p / (1 - p)), -EDGE)
+    return np.log((part + 0.5) / (total - part + 0.5))
 
 
 def _stats(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -90,16 +100,17 @@ def _stats(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
         for start, stop in chunks(b.column("text").to_pylist()):
             part = b.slice(start, stop - start)
             total, repeated, excess, top = repeated_words(part.column("text").to_pylist(), n)
-            cells = _grid(_logit(repeated, total)), _grid(_logit(excess, total)), _grid(np.log2(np.maximum(top, 1)))
+            cells = _grid(_logit(repeated, total)), _grid(_logit(excess, total)), _grid(np.log(total + 1.0))
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in ("page_id", "lang", "host")), *(pa.array(x.astype(np.int32)) for x in (total, repeated, excess, top, *cells))],
-                ["page_id", "lang", "host", "words", "repeated", "excess", "top", *CELL],
+                [*(part.column(c) for c in ("page_id", "lang", "host", "copy")), *(pa.array(x.astype(np.int32)) for x in (total, repeated, excess, top, *cells))],
+                ["page_id", "lang", "host", "copy", "words", "repeated", "excess", "top", *CELL],
             )
 
 
 def repetition_statistics(pages: DataFrame, n: int = N, id_col: str = "page_id", text_col: str = "wet_text", lang_col: str = "lang", url_col: str = "url") -> DataFrame:
     """The statistics of each row; see STATS."""
-    slim = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(host_name(F.col(url_col)), F.lit("")).alias("host"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    slim = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(host_name(F.col(url_col)), F.lit("")).alias("host"), F.xxhash64(text).alias("copy"), text.alias("text"))
     return slim.mapInArrow(lambda it: _stats(it, n), STATS.format(id=slim.schema["page_id"].dataType.simpleString()))
 
 
@@ -108,36 +119,37 @@ def repetition_statistics(pages: DataFrame, n: int = N, id_col: str = "page_id",
 def _moments(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mean = w @ x / w.sum()
     d = x - mean
-    return mean, (d * w[:, None]).T @ d / w.sum()
+    return mean, (d * w[:, None]).T @ d / w.sum() + FLOOR
 
 
-def mcd(x: np.ndarray, w: np.ndarray, share: float = 0.5, starts: int = 8, steps: int = 30) -> tuple[np.ndarray, np.ndarray]:
+def _distances(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    d = x - mean
+    return ((d @ np.linalg.inv(cov)) * d).sum(1)
+
+
+def mcd(x: np.ndarray, w: np.ndarray, share: float = 0.5, starts: int = 4, steps: int = 30) -> tuple[np.ndarray, np.ndarray]:
     """Location and scatter of the ``share`` of the weight with the least determinant; concentration steps from fixed starts.
 
-    x: cells, w: their counts. The grid's rounding variance is added, so that exact fits stay invertible.
+    x: cells, w: their counts. Starts are the medians with the mean deviations, and for many cells random small sets.
     """
-    d = x.shape[1]
-    floor = np.eye(d) * STEP**2
     h = share * w.sum()
     order = np.argsort(x, axis=0)
     center = np.array([x[o, k][np.searchsorted(np.cumsum(w[o]), w.sum() / 2)] for k, o in enumerate(order.T)])
-    spread = np.maximum([np.average(np.abs(x[:, k] - center[k]), weights=w) for k in range(d)], STEP)
-    begin = [(center, np.diag(np.square(spread)))]
-    rng = np.random.default_rng(7)
-    for _ in range(starts if len(x) > d + 1 else 0):
-        pick = rng.choice(len(x), d + 1, replace=False, p=w / w.sum()) if (w > 0).sum() > d + 1 else np.arange(len(x))
-        begin.append((lambda m: (m[0], m[1] + floor))(_moments(x[pick], np.ones(len(pick)))))
+    begin = [(center, np.diag(np.square(np.maximum(np.average(np.abs(x - center), axis=0, weights=w), STEP))))]
+    if len(x) > 50:
+        rng = np.random.default_rng(7)
+        for _ in range(starts):
+            pick = rng.choice(len(x), 20, replace=False, p=w / w.sum())
+            begin.append(_moments(x[pick], np.ones(len(pick))))
     best: tuple[float, np.ndarray, np.ndarray] | None = None
     for mean, cov in begin:
         last = np.inf
         for _ in range(steps):
-            dist = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-            near = np.argsort(dist, kind="stable")
+            near = np.argsort(_distances(x, mean, cov), kind="stable")
             before = np.cumsum(w[near]) - w[near]
             part = np.zeros(len(x))
             part[near] = np.clip(h - before, 0, w[near])  # the outermost cell counts in part
             mean, cov = _moments(x, part)
-            cov = cov + floor
             det = float(np.linalg.slogdet(cov)[1])
             if det >= last - 1e-9:
                 break
@@ -147,49 +159,72 @@ def mcd(x: np.ndarray, w: np.ndarray, share: float = 0.5, starts: int = 8, steps
     return best[1], best[2]
 
 
-def rejected(x: np.ndarray, w: np.ndarray, cutoff: float = CHI2_975_3) -> np.ndarray:
-    """Cells beyond the cutoff of the reweighted estimate, on the side of more repetition."""
+def estimate(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The reweighted estimate: moments of the cells within the 0.975 quantile of the raw one."""
     mean, cov = mcd(x, w)
-    cov = cov * HALF_3
-    inside = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean) <= cutoff
-    if inside.any():
-        mean, cov = _moments(x[inside], w[inside])
-        cov = cov + np.eye(x.shape[1]) * STEP**2
-    return (np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean) > cutoff) & (x[:, 0] > mean[0])
-
-
-def _rejected_cells(group: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    bad = rejected(group[CELL].to_numpy(float) * STEP, group["n"].to_numpy(float))
-    return group.loc[bad, [*keys, *CELL]]
+    inside = _distances(x, mean, cov * HALF_3) <= CHI2_975_3
+    return _moments(x[inside], w[inside]) if inside.any() else (mean, cov * HALF_3)
 
 
-def repetition_outliers(stats: DataFrame, least_group: int = 60) -> DataFrame:
-    """The rows of ``stats`` that their (language, source) group, their language or the whole corpus rejects as too repetitive.
-
-    Groups under ``least_group`` rows have no estimate of their own; the wider ones also catch groups in which
-    repetition is the rule. Cells count each page once, and half of a scope's pages may repeat before its estimate does.
-    """
-    stats = stats.dropDuplicates(["page_id"])
-    cells = stats.groupBy("lang", "host", *CELL).agg(F.count("*").alias("n"))
-    big = cells.groupBy("lang", "host").agg(F.sum("n").alias("size")).where(F.col("size") >= least_group).select("lang", "host")
-    here = cells.join(big, ["lang", "host"], "left_semi").groupBy("lang", "host").applyInPandas(lambda g: _rejected_cells(g, ["lang", "host"]), "lang string, host string, c1 int, c2 int, c3 int")
-    wide = cells.withColumn("scope", F.explode(F.array("lang", F.lit("*")))).groupBy("scope", *CELL).agg(F.sum("n").alias("n"))
-    there = wide.groupBy("scope").applyInPandas(lambda g: _rejected_cells(g, ["scope"]), "scope string, c1 int, c2 int, c3 int")
-    scoped = there.join(cells.select("lang", "host", *CELL), CELL).where((F.col("scope") == F.col("lang")) | (F.col("scope") == "*")).select("lang", "host", *CELL)
-    return stats.join(here.unionByName(scoped), ["lang", "host", *CELL], "left_semi")
+def _estimate(group: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    w = group["n"].to_numpy(float)
+    mean, cov = estimate(group[CELL].to_numpy(float) * STEP, w)
+    return pd.DataFrame([[*group.iloc[0][keys], w.sum(), mean.tolist(), cov.ravel().tolist()]], columns=[*keys, "n", "mean", "scatter"])
 
 
-def repetitive_pages(pages: DataFrame, share: float = 0.4, excess: float = 0.28, n: int = N, **cols: str) -> DataFrame:
-    """Pages of which at least ``share`` of the words repeat, with their statistics, whatever other pages do.
+def _shrunk(own: DataFrame, wider: DataFrame, on: str) -> DataFrame:
+    """``own`` with its estimates drawn towards those of ``wider`` (on, mean, scatter); one row of ``wider`` a key."""
+    both = own.join(wider.select(on, F.col("mean").alias("_m"), F.col("scatter").alias("_s")), on)
+    mix = lambda a, b: F.zip_with(a, b, lambda x, y: (F.col("n") * x + SHRINK * y) / (F.col("n") + SHRINK))
+    return both.withColumn("mean", mix("mean", "_m")).withColumn("scatter", mix("scatter", "_s")).drop("_m", "_s")
 
-    ``excess``: least share beyond the first occurrences, which a refrain and a title printed twice don't reach; it
-    isn't asked of a page of which half or more repeats.
-    """
-    stats = repetition_statistics(pages, n, **cols)
-    found = stats.where((F.col("words") > 0) & (F.col("repeated") >= share * F.col("words")) & ((F.col("excess") >= excess * F.col("words")) | (F.col("repeated") >= 0.5 * F.col("words"))))
-    return found.dropDuplicates(["page_id"])
 
-
-def outlying_pages(pages: DataFrame, n: int = N, least_group: int = 60, **cols: str) -> DataFrame:
-    """Pages outlying for more repetition in their group, language or corpus, with their statistics; where half have none, any is outlying."""
-    return repetition_outliers(cut(repetition_statistics(pages, n, **cols), "repetition"), least_group)
+def _precisions(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for name in names:
+            b[name] = [np.linalg.inv(np.array(x).reshape(D, D)).ravel().tolist() for x in b[name]]
+        yield b
+
+
+def _distance(mean: str, precision: str) -> Column:
+    """Squared Mahalanobis distance of a row of statistics."""
+    logit = lambda c: F.log((F.col(c) + 0.5) / (F.col("words") - F.col(c) + 0.5))
+    d = [x - F.col(mean)[i] for i, x in enumerate((logit("repeated"), logit("excess"), F.log(F.col("words") + 1.0)))]
+    return reduce(lambda a, b: a + b, (d[i] * d[j] * F.col(precision)[i * D + j] for i in range(D) for j in range(D)))
+
+
+def estimates(stats: DataFrame) -> DataFrame:
+    """One row for each (lang, host): location and precision of the group, its language and the corpus."""
+    some = stats.where("repeated > 0").groupBy("lang", "copy", *CELL).agg(F.min("host").alias("host"))  # copies count once, at the first of their hosts
+    cells = cut(some.groupBy("lang", "host", *CELL).agg(F.count("*").alias("n")), "cells")
+    by = lambda df, keys: df.groupBy(*keys).applyInPandas(lambda g: _estimate(g, keys), ", ".join(f"{k} string" for k in keys) + ", " + ESTIMATE)
+    wide = cells.groupBy("lang", *CELL).agg(F.sum("n").alias("n"))
+    spark = stats.sparkSession
+    prior = spark.createDataFrame([("*", PRIOR[0].tolist(), PRIOR[1].ravel().tolist())], "scope string, mean array<double>, scatter array<double>")
+    corpus = _shrunk(by(wide.groupBy(*CELL).agg(F.sum("n").alias("n")).withColumn("scope", F.lit("*")), ["scope"]), prior, "scope")
+    languages = cut(_shrunk(by(wide, ["lang"]).withColumn("scope", F.lit("*")), corpus, "scope").join(corpus.select("scope", F.col("mean").alias("mean_all"), F.col("scatter").alias("scatter_all")), "scope"), "languages")
+    groups = _shrunk(by(cells, ["lang", "host"]), languages, "lang")
+    # pages whose copies count at another host have no cells of their own there: their language's estimate stands in
+    named = stats.where("repeated > 0").select("lang", "host").distinct().join(groups.select("lang", "host", F.col("mean").alias("m"), F.col("scatter").alias("s")), ["lang", "host"], "left")
+    every = named.join(languages, "lang").select(
+        "lang", "host", F.coalesce("m", "mean").alias("mean_group"), F.coalesce("s", "scatter").alias("group"), F.col("mean").alias("mean_lang"), F.col("scatter").alias("language"), "mean_all", F.col("scatter_all").alias("corpus")
+    )
+    return every.mapInPandas(lambda it: _precisions(it, ["group", "language", "corpus"]), every.schema)
+
+
+def rejected(stats: DataFrame, cutoff: float = CHI2_999_3) -> DataFrame:
+    """The rows of ``stats`` beyond the cutoff of their group's, their language's or the corpus' estimate, on the side of more repetition."""
+    joined = stats.where("repeated > 0").join(estimates(stats), ["lang", "host"])
+    share = F.log((F.col("repeated") + 0.5) / (F.col("words") - F.col("repeated") + 0.5))
+    beyond = [(_distance(m, p) > cutoff) & (share > F.col(m)[0]) for m, p in (("mean_group", "group"), ("mean_lang", "language"), ("mean_all", "corpus"))]
+    return joined.where(beyond[0] | beyond[1] | beyond[2]).select(stats.columns)
+
+
+def outlying_pages(pages: DataFrame, n: int = N, cutoff: float = CHI2_999_3, **cols: str) -> DataFrame:
+    """Pages outlying for more repetition in their group, language or corpus, with their statistics; each page once."""
+    return rejected(cut(repetition_statistics(pages, n, **cols), "repetition"), cutoff).dropDuplicates(["page_id"])
+
+
+def repetitive_pages(pages: DataFrame, share: float = 0.4, n: int = N, cutoff: float = CHI2_999_3, **cols: str) -> DataFrame:
+    """The outlying pages of which at least ``share`` of the words repeat, with their statistics."""
+    return outlying_pages(pages, n, cutoff, **cols).where(F.col("repeated") >= share * F.col("words"))
