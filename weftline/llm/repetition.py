@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.urls import host_name
 from weftline.llm.vec import Flat, Words, chunks, splitmix
-from weftline.session import cut
+from weftline.session import cut, shuffle_partitions
 
 N = 5
 STEP, EDGE = 0.25, 20.0
@@ -172,11 +172,14 @@ def _estimate(group: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
     return pd.DataFrame([[*group.iloc[0][keys], w.sum(), mean.tolist(), cov.ravel().tolist()]], columns=[*keys, "n", "mean", "scatter"])
 
 
+def _mixed(n: Column, own: Column, wider: Column) -> Column:
+    return F.zip_with(own, wider, lambda x, y: (n * x + SHRINK * y) / (n + SHRINK))
+
+
 def _shrunk(own: DataFrame, wider: DataFrame, on: str) -> DataFrame:
     """``own`` with its estimates drawn towards those of ``wider`` (on, mean, scatter); one row of ``wider`` a key."""
     both = own.join(wider.select(on, F.col("mean").alias("_m"), F.col("scatter").alias("_s")), on)
-    mix = lambda a, b: F.zip_with(a, b, lambda x, y: (F.col("n") * x + SHRINK * y) / (F.col("n") + SHRINK))
-    return both.withColumn("mean", mix("mean", "_m")).withColumn("scatter", mix("scatter", "_s")).drop("_m", "_s")
+    return both.withColumn("mean", _mixed(F.col("n"), F.col("mean"), F.col("_m"))).withColumn("scatter", _mixed(F.col("n"), F.col("scatter"), F.col("_s"))).drop("_m", "_s")
 
 
 def _precisions(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
@@ -197,12 +200,16 @@ def estimates(stats: DataFrame) -> DataFrame:
     """One row for each (lang, host): location and precision of the group, its language and the corpus."""
     some = stats.where("repeated > 0").groupBy("lang", "copy", *CELL).agg(F.min("host").alias("host"))  # copies count once, at the first of their hosts
     cells = cut(some.groupBy("lang", "host", *CELL).agg(F.count("*").alias("n")), "cells")
-    by = lambda df, keys: df.groupBy(*keys).applyInPandas(lambda g: _estimate(g, keys), ", ".join(f"{k} string" for k in keys) + ", " + ESTIMATE)
+    spread = lambda df, keys: df.repartition(shuffle_partitions(df.sparkSession), *keys)  # noqa: E731  (small rows, much work)
+    by = lambda df, keys: spread(df, keys).groupBy(*keys).applyInPandas(lambda g: _estimate(g, keys), ", ".join(f"{k} string" for k in keys) + ", " + ESTIMATE)
     wide = cells.groupBy("lang", *CELL).agg(F.sum("n").alias("n"))
-    spark = stats.sparkSession
-    prior = spark.createDataFrame([("*", PRIOR[0].tolist(), PRIOR[1].ravel().tolist())], "scope string, mean array<double>, scatter array<double>")
-    corpus = _shrunk(by(wide.groupBy(*CELL).agg(F.sum("n").alias("n")).withColumn("scope", F.lit("*")), ["scope"]), prior, "scope")
-    languages = cut(_shrunk(by(wide, ["lang"]).withColumn("scope", F.lit("*")), corpus, "scope").join(corpus.select("scope", F.col("mean").alias("mean_all"), F.col("scatter").alias("scatter_all")), "scope"), "languages")
+    n, mean, scatter = 0.0, *PRIOR
+    for r in by(wide.groupBy(*CELL).agg(F.sum("n").alias("n")).withColumn("scope", F.lit("*")), ["scope"]).collect():  # one row, or none
+        n = r["n"]
+        mean, scatter = ((n * np.array(own).reshape(x.shape) + SHRINK * x) / (n + SHRINK) for own, x in ((r["mean"], mean), (r["scatter"], scatter)))
+    literal = lambda x: F.array(*map(F.lit, x.ravel().tolist()))
+    languages = by(wide, ["lang"]).withColumns({"mean_all": literal(mean), "scatter_all": literal(scatter)})
+    languages = cut(languages.withColumn("mean", _mixed(F.col("n"), F.col("mean"), F.col("mean_all"))).withColumn("scatter", _mixed(F.col("n"), F.col("scatter"), F.col("scatter_all"))), "languages")
     groups = _shrunk(by(cells, ["lang", "host"]), languages, "lang")
     # pages whose copies count at another host have no cells of their own there: their language's estimate stands in
     named = stats.where("repeated > 0").select("lang", "host").distinct().join(groups.select("lang", "host", F.col("mean").alias("m"), F.col("scatter").alias("s")), ["lang", "host"], "left")
