@@ -35,15 +35,17 @@ def test_minhash_cases(spark):
     assert c[1] == c[2] == c[3] == 1 and c[4] == 4 and c[5] == 5 and c[6] == c[7] == 6
 
 
-def test_signature_is_chunked_exactly():
-    toks = [f"x{i}" for i in range(9000)]
-    grams = {" ".join(toks[i : i + 5]) for i in range(len(toks) - 4)}
+def test_signatures_equal_their_definition():
     import hashlib
+    import unicodedata
 
-    h = np.array([int(hashlib.md5(g.encode()).hexdigest()[:15], 16) for g in grams], np.uint64)
-    with np.errstate(over="ignore"):
-        want = ((np.outer(h, minhash.A) + minhash.B) % np.uint64(minhash.MODULUS)).min(0)
-    assert minhash._signature(toks) == want.astype(np.int64).tolist()
+    texts = [" ".join(f"x{i}" for i in range(9000)), "", None, "Uku kawai ne", unicodedata.normalize("NFD", "Ọ̀rọ̀ wa ni èyí, ọ̀rọ̀ wa ni èyí!"), " ".join(words(5, 50))]
+    got = minhash.signatures(texts)
+    for text, sig in zip(texts, got):
+        toks = minhash.TOKENS.findall(unicodedata.normalize("NFC", text or "").lower())
+        grams = {" ".join(toks[i : i + 5]) for i in range(max(1, len(toks) - 4))}
+        least = [min((int(hashlib.md5(g.encode()).hexdigest()[:15], 16) * int(a) + int(b)) % 2**64 % minhash.MODULUS for g in grams) for a, b in zip(minhash.A[:6], minhash.B[:6])]
+        assert sig[:6].tolist() == least
 
 
 def test_fixed_coefficients():
@@ -57,6 +59,41 @@ def test_decontamination(spark):
     assert [tuple(r) for r in decontam.contamination_by_set(docs, held).collect()] == [(1, "s")]
 
 
+def test_decontamination_by_both_ways(spark):
+    held = spark.createDataFrame([("s", " ".join(words(3, 30))), ("t", " ".join(words(4, 20)))], "set_name string, text string")
+    docs = spark.createDataFrame([(i, " ".join(words(i, 8) + words(3 + i % 3, 20)[:14])) for i in range(30)], "doc_id long, text string")
+    for most in (0, 1_000_000):
+        assert sorted(r[0] for r in decontam.contaminated(docs, held, most_sent=most).collect()) == [i for i in range(30) if i % 3 < 2]
+        assert len(decontam.contamination_by_set(docs, held, most_sent=most).collect()) == 20
+
+
+def test_running_sums_over_ranges(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "b", None]), rng.randrange(3), rng.choice([None, 1, 5, 9])) for i in range(400)]
+    got = sampling.running_sum(spark.createDataFrame(rows, "i int, g string, k int, n int"), ["g"], [F.desc("k"), F.col("i")], "n")
+    sums, want = {}, {}
+    for i, g, _, n in sorted(rows, key=lambda r: (-r[2], r[0])):
+        want[i] = sums[g] = sums.get(g, 0) + (n or 0)
+    assert {r["i"]: r["running"] for r in got.collect()} == want
+
+
+def test_quota_budgets_and_batches(spark):
+    docs = spark.createDataFrame([(i, f"v{i % 2}", "x" if i < 6 else "y", 10 + i) for i in range(12)], "i int, v string, g string, n int")
+    assert {r["g"]: r["budget"] for r in sampling.language_quota(docs, "v", "g", "n").collect()} == {"x": 36, "y": 54}
+    assert {(r["v"], r["budget"]) for r in sampling.global_budget(docs, "v", "n").collect()} == {("v0", 90), ("v1", 90)}
+    assert {r["budget"] for r in sampling.global_budget(docs, "v", "n", 7).collect()} == {7}
+    batches = sampling.length_batches(docs, "i", "n", 5).collect()
+    assert sorted((r["batch"], r["id"]) for r in batches) == [((11 - i) // 5, i) for i in sorted(range(12), key=lambda i: ((11 - i) // 5, i))]
+
+
+def test_a_fill_of_many_rounds(spark):
+    rows = [(i, "g", 1000 - i) for i in range(130)]  # every item overflows after the first few
+    docs = spark.createDataFrame(rows, "i long, g string, n long")
+    order = {r["i"]: r["o"] for r in docs.withColumn("o", F.md5(F.concat_ws(":", F.lit("0"), F.col("i").cast("string")))).collect()}
+    got = {r["i"] for r in sampling.greedy_fill(docs, spark.createDataFrame([("g", 2500)], "g string, budget long"), "i", "n", "g", 0, most_walked=3).collect()}
+    assert got == python_fill(sorted(((i, n) for i, _, n in rows), key=lambda x: (order[x[0]], x[0])), 2500)
+
+
 def python_fill(rows, budget):
     left, out = budget, []
     for i, n in rows:

@@ -14,7 +14,7 @@ def star_edges(members: DataFrame, group: list[str], node: str) -> DataFrame:
     return members.join(root, group).where(F.col(node) > F.col("a")).select("a", F.col(node).alias("b")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node on an edge (a, b); the component is its smallest node.
 
     Each round hooks every node to its smallest neighbour, jumps pointers to the roots and contracts the edges, so
@@ -22,9 +22,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     edges = cut(edges.where("a != b"), "edges")
     labels: DataFrame | None = None
-    for _ in range(most_rounds):
-        if edges.isEmpty():
-            break
+    while not edges.isEmpty():  # each round at least halves the nodes of every component that is left
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a"))
         parents = cut(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("parent")), "parents")
         while True:

@@ -1,4 +1,9 @@
-"""Decontamination against held-out text by shared word 13-grams, and hold-out by identity."""
+"""Decontamination against held-out text by shared word 13-grams, and hold-out by identity.
+
+Grams are compared by 64-bit hashes (of 10^13 corpus grams and 10^6 held-out ones about one in two chances of a single
+false hit). The corpus' grams are filtered where they are made, without a shuffle, if the held-out ones number at most
+``most_sent``; beyond that both sides are shuffled, as 8-byte hashes.
+"""
 
 from __future__ import annotations
 
@@ -10,21 +15,28 @@ from weftline.functions.urls import site
 
 
 def grams(texts: DataFrame, id_col: str, text: str, n: int = 13) -> DataFrame:
-    """Distinct (id, gram); a text of fewer than ``n`` words has none."""
+    """(id, gram) of each text's different grams, hashed; a text of fewer than ``n`` words has none."""
     toks = tokens(nfc(F.coalesce(F.col(text), F.lit(""))))
-    return texts.select(id_col, toks.alias("_t")).select(id_col, F.explode(shingles(F.col("_t"), n, False)).alias("gram")).distinct()
+    hashed = F.transform(shingles(F.col("_t"), n, False), lambda g: F.xxhash64(g))
+    return texts.select(id_col, toks.alias("_t")).select(id_col, F.explode(hashed).alias("gram"))
+
+
+def _met(docs: DataFrame, keys: DataFrame, how: str, id_col: str, text: str, most_sent: int) -> DataFrame:
+    """Documents' grams that are among ``keys``; these are sent to the workers if their number, which is counted, allows."""
+    small = keys.limit(most_sent + 1).count() <= most_sent
+    return grams(docs, id_col, text).join(F.broadcast(keys) if small else keys, "gram", how)
 
 
-def contaminated(docs: DataFrame, held: DataFrame, id_col: str = "doc_id", text: str = "text", held_text: str = "text") -> DataFrame:
-    """Ids of documents that share a 13-gram with a held-out text. The held side is small: its distinct grams are what AQE may broadcast."""
-    key = grams(held.select(F.lit(0).alias("h"), F.col(held_text).alias("t")), "h", "t").select("gram").distinct()
-    return grams(docs, id_col, text).join(key, "gram", "left_semi").select(id_col).distinct()
+def contaminated(docs: DataFrame, held: DataFrame, id_col: str = "doc_id", text: str = "text", held_text: str = "text", most_sent: int = 1_000_000) -> DataFrame:
+    """Ids of documents that share a 13-gram with a held-out text."""
+    keys = grams(held.select(F.lit(0).alias("h"), F.col(held_text).alias("t")), "h", "t").select("gram").distinct()
+    return _met(docs, keys, "left_semi", id_col, text, most_sent).select(id_col).distinct()
 
 
-def contamination_by_set(docs: DataFrame, held: DataFrame, id_col: str = "doc_id", text: str = "text", set_col: str = "set_name", held_text: str = "text") -> DataFrame:
+def contamination_by_set(docs: DataFrame, held: DataFrame, id_col: str = "doc_id", text: str = "text", set_col: str = "set_name", held_text: str = "text", most_sent: int = 1_000_000) -> DataFrame:
     """(id, set) for every held-out set that a document shares a 13-gram with."""
-    key = grams(held.select(F.col(set_col).alias("h"), F.col(held_text).alias("t")), "h", "t").select(F.col("h").alias(set_col), "gram").distinct()
-    return grams(docs, id_col, text).join(key, "gram").select(id_col, set_col).distinct()
+    keys = grams(held.select(F.col(set_col).alias("h"), F.col(held_text).alias("t")), "h", "t").select(F.col("h").alias(set_col), "gram").distinct()
+    return _met(docs, keys, "inner", id_col, text, most_sent).select(id_col, set_col).distinct()
 
 
 def identity_held(docs: DataFrame, held: DataFrame, id_col: str, url: str = "url", title_host: str = "wikipedia.org") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.operators.sampling import running_sum
+
 
 def with_total(rows: DataFrame, by: str, total: str = "all") -> DataFrame:
     """Every row under its own group and under ``total``: one pass instead of two."""
@@ -34,10 +36,8 @@ def capped_alternative(rows: DataFrame, share: float, host: str, size: str, scor
     sums = rows.groupBy(host).agg(F.sum(size).alias("tokens"), F.count("*").alias("docs"))
     total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))  # over hosts, not rows
     big = sums.withColumn("total", total).where(F.col("tokens") > share * F.col("total"))
-    own = rows.join(big, host)
-    order = Window.partitionBy(host).orderBy(F.desc(score), id_col)
-    running = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    kept = own.withColumn("running", running).where(F.col("running") <= share / (1 - share) * (F.col("total") - F.col("tokens")))
+    own = running_sum(rows.select(host, size, score, id_col).join(big.select(host, "total", F.col("tokens").alias("all_tokens")), host), [host], [F.desc(score), F.col(id_col)], size)
+    kept = own.where(F.col("running") <= share / (1 - share) * (F.col("total") - F.col("all_tokens")))
     sums_kept = kept.groupBy(host).agg(F.count("*").alias("kept_docs"), F.sum(size).alias("kept_tokens"))
     return big.join(sums_kept, host, "left").select(host, "docs", F.coalesce("kept_docs", F.lit(0)).alias("kept_docs"), "tokens", F.coalesce("kept_tokens", F.lit(0)).alias("kept_tokens"))
 

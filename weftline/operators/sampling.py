@@ -1,8 +1,13 @@
 """Token budgets, site caps, quotas and repeatable samples.
 
-The greedy rules are sequential by definition (an item is skipped if it doesn't fit what is left). They run on
-narrow rows (key, size). To keep any group bounded, whole runs of items that certainly fit are taken by a window's
-running sum first, and only the boundary is walked: see ``greedy_fill``.
+Running sums are made in two levels: rows are sorted in ranges of equal size over all workers, each range has its own
+running sum, and a range's start is the sum of its group's ranges before it. So no group, and no run of equal keys, is
+held in one task.
+
+The greedy rules are sequential by definition (an item is skipped if it doesn't fit what is left). They go in rounds:
+a round takes all items before the first that overflows, by running sum, and only those that fit what is left go on.
+Each round ends with an item larger than what is left, so what is left shrinks fast. At most ``most_walked`` remaining
+candidates, of all groups together, are walked in one go instead, which gives the same items.
 """
 
 from __future__ import annotations
@@ -22,10 +27,22 @@ def _order(seed: int, id_col: str) -> list[Column]:
     return [seeded_order(seed, F.col(id_col)), F.col(id_col)]
 
 
+def running_sum(rows: DataFrame, groups: list[str], order: list[str | Column], value: str, out: str = "running") -> DataFrame:
+    """``rows`` with the sum of ``value`` over their group's rows up to each, in an order without ties; nulls count 0."""
+    part, base = "_part", "_base"
+    filled = rows.withColumn(value, F.coalesce(value, F.lit(0)))
+    ranged = cut(filled.repartitionByRange(*groups, *order).withColumn(part, F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy(*groups, part).agg(F.sum(value).alias(base))  # a row for each group and range
+    before = Window.partitionBy(*groups).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn(base, F.coalesce(F.sum(base).over(before), F.lit(0)))
+    own = F.sum(value).over(Window.partitionBy(*groups, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn(out, own).join(starts.select(*(F.col(g).alias(f"_{g}") for g in groups), F.col(part).alias("_p"), base), [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups] + [F.col(part) == F.col("_p")]).withColumn(out, F.col(out) + F.col(base)).drop(part, base, "_p", *(f"_{g}" for g in groups))
+
+
 def budget_prefix(docs: DataFrame, budget: int, id_col: str, size: str, groups: list[str], seed: int = 0) -> DataFrame:
     """The random order's prefix up to the first document that overflows the group's budget."""
-    running = F.sum(size).over(Window.partitionBy(*groups).orderBy(*_order(seed, id_col)).rowsBetween(Window.unboundedPreceding, 0))
-    return docs.withColumn("running", running).where(F.col("running") <= budget)
+    ordered = docs.withColumn("_order", _order(seed, id_col)[0])
+    return running_sum(ordered, groups, ["_order", id_col], size).where(F.col("running") <= budget).drop("_order")
 
 
 def _fill(sizes: list[int], left: int) -> list[int]:
@@ -39,17 +56,11 @@ def _fill(sizes: list[int], left: int) -> list[int]:
 
 
 def greedy_fill(docs: DataFrame, budgets: DataFrame, id_col: str, size: str, group: str, seed: int = 0, most_walked: int = 1_000_000) -> DataFrame:
-    """Random documents of each group, greedily up to its ``budget``: a document that doesn't fit is skipped.
-
-    The prefix before the first overflow is exact by running sum. After it only documents no larger than what is
-    left can be taken; the pass goes on over those, again by running sum, until none fits. Each round is a window,
-    so no group is held in one place; when at most ``most_walked`` candidates remain they are walked in one go.
-    """
+    """Random documents of each group, greedily up to its ``budget``: a document that doesn't fit is skipped. See the module."""
     spark = docs.sparkSession
-    order = _order(seed, id_col)
-    rest = docs.select(F.col(group).alias("g"), F.col(id_col).alias("i"), F.col(size).cast("long").alias("n"), order[0].alias("o")).join(budgets.select(F.col(group).alias("g"), F.col("budget").cast("long").alias("left")), "g")
+    rest = docs.select(F.col(group).alias("g"), F.col(id_col).alias("i"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("n"), seeded_order(seed, F.col(id_col)).alias("o")).join(budgets.select(F.col(group).alias("g"), F.col("budget").cast("long").alias("left")), "g")
     taken: DataFrame | None = None
-    for _ in range(100):
+    while True:
         rest = cut(rest.where("n <= left"), "rest")
         count = rest.count()
         if count == 0:
@@ -58,15 +69,12 @@ def greedy_fill(docs: DataFrame, budgets: DataFrame, id_col: str, size: str, gro
             walked = rest.groupBy("g").applyInPandas(_walk, f"g {rest.schema['g'].dataType.simpleString()}, i {rest.schema['i'].dataType.simpleString()}")
             taken = walked if taken is None else taken.union(walked)
             break
-        w = Window.partitionBy("g").orderBy("o", "i")
-        run = rest.withColumn("run", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        over = F.max(F.when(F.col("run") > F.col("left"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        marked = cut(run.withColumn("over", over), "run")
-        now = marked.where("over = 0")
+        marked = cut(running_sum(rest, ["g"], ["o", "i"], "n", "run"), "run")
+        now = marked.where("run <= left")  # sizes aren't negative, so these are a prefix
         taken = now.select("g", "i") if taken is None else taken.union(now.select("g", "i"))
         used = now.groupBy("g").agg(F.sum("n").alias("used"))
-        # the document that overflowed is skipped for good: everything after the prefix that still fits goes on
-        rest = marked.where("over = 1").join(used, "g", "left").select("g", "i", "n", "o", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"))
+        # the document that overflowed is skipped for good: everything after it that still fits goes on
+        rest = marked.where("run > left").join(used, "g", "left").select("g", "i", "n", "o", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"))
     if taken is None:
         return spark.createDataFrame([], docs.select(group, id_col).schema)
     return taken.select(F.col("g").alias(group), F.col("i").alias(id_col))
@@ -96,22 +104,20 @@ def _capped(rows: pd.DataFrame, share: float) -> pd.DataFrame:
     return pd.concat(sites.values())[["g", "i"]] if sites else rows.iloc[:0][["g", "i"]]
 
 
-def site_cap(docs: DataFrame, share: float, id_col: str, size: str, group: str, site: str, seed: int = 0, most_rounds: int = 200, most_walked: int = 1_000_000) -> DataFrame:
+def site_cap(docs: DataFrame, share: float, id_col: str, size: str, group: str, site: str, seed: int = 0, most_walked: int = 1_000_000) -> DataFrame:
     """(group, id) kept so that no site has more than ``share`` of its group's tokens.
 
-    Groups of at most ``most_walked`` rows are walked in one go each; else rounds over all groups do the same.
-
     While the largest site (of equals the first by name) exceeds the share, a greedy random subset of it that fits
-    share / (1 - share) of the others' tokens is kept. Sites over the share are few (at most 1 / share at a time),
-    so only their rows are walked; the totals are one aggregation a round.
+    share / (1 - share) of the others' tokens is kept; every round shrinks a site, so they end. A round is one
+    aggregation and a fill of the sites over the share. At most ``most_walked`` rows of all groups together are
+    walked in one go for each group, with the same result.
     """
     rows = cut(docs.select(F.col(group).alias("g"), F.col(id_col).alias("i"), F.col(size).cast("long").alias("n"), F.coalesce(site, F.lit("")).alias("s")), "cap")
-    largest = rows.groupBy("g").count().agg(F.max("count")).first()[0] or 0
-    if largest <= most_walked:
+    if rows.count() <= most_walked:
         ordered = rows.withColumn("o", seeded_order(seed, F.col("i")))
         walked = ordered.groupBy("g").applyInPandas(lambda x: _capped(x, share), f"g {rows.schema['g'].dataType.simpleString()}, i {rows.schema['i'].dataType.simpleString()}")
         return walked.select(F.col("g").alias(group), F.col("i").alias(id_col))
-    for _ in range(most_rounds):
+    while True:
         sums = rows.groupBy("g", "s").agg(F.sum("n").alias("tokens"))
         total = F.sum("tokens").over(Window.partitionBy("g"))
         rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("tokens"), "s"))
@@ -120,14 +126,33 @@ def site_cap(docs: DataFrame, share: float, id_col: str, size: str, group: str,
         if over.isEmpty():
             break
         own = rows.join(over.select("g", "s"), ["g", "s"], "left_semi")
-        kept = greedy_fill(own.select(F.col("g"), F.col("i"), F.col("n")), over.select("g", "budget"), "i", "n", "g", seed)
+        kept = greedy_fill(own.select(F.col("g"), F.col("i"), F.col("n")), over.select("g", "budget"), "i", "n", "g", seed, most_walked)
         others = rows.join(over.select("g", "s"), ["g", "s"], "left_anti")
         rows = cut(others.unionByName(own.join(kept, ["g", "i"], "left_semi")), "cap")
     return rows.select(F.col("g").alias(group), F.col("i").alias(id_col))
 
 
+def language_quota(versions: DataFrame, version: str, group: str, size: str) -> DataFrame:
+    """(group, budget): for each group the smallest version's tokens."""
+    sums = versions.groupBy(version, group).agg(F.sum(size).alias("tokens"))
+    return sums.groupBy(group).agg(F.min("tokens").alias("budget"))
+
+
+def global_budget(versions: DataFrame, version: str, size: str, fixed: int | None = None) -> DataFrame:
+    """(version, budget): every version's budget is the smallest version's tokens, or a fixed number."""
+    sums = versions.groupBy(version).agg(F.sum(size).alias("tokens"))
+    least = F.lit(fixed).cast("long") if fixed is not None else F.min("tokens").over(Window.partitionBy(F.lit(1)))  # over versions, not rows
+    return sums.select(version, least.alias("budget"))
+
+
+def length_batches(docs: DataFrame, id_col: str, size: str, batch: int = 64) -> DataFrame:
+    """(batch, id, size): documents in batches of about one length, longest first; ``batch`` documents each but the last."""
+    numbered = running_sum(docs.select(F.col(id_col).alias("id"), F.col(size).alias("size"), F.lit(1).alias("one"), F.lit("").alias("all")), ["all"], [F.desc("size"), F.col("id")], "one", "place")
+    return numbered.select(F.floor((F.col("place") - 1) / batch).alias("batch"), "id", "size")
+
+
 def epochs(chunks: DataFrame, passes: int, id_col: str, seed: int = 0) -> DataFrame:
-    """(pass, position, id): every chunk once in each pass, in a new random order; positions run within a salted part of the order."""
+    """(pass, id, order): every chunk once in each pass; ``order`` sorts a pass's chunks, anew for each."""
     each = chunks.select(F.col(id_col).alias("id"), F.explode(F.sequence(F.lit(1), F.lit(passes))).alias("pass"))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("pass").cast("string"), F.col("id").cast("string")))
     return each.select("pass", "id", order.alias("order"))
