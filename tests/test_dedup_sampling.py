@@ -164,3 +164,42 @@ def test_scores_metrics_and_comparison(spark):
     curves = spark.createDataFrame([("a", "s", 1.0), ("a", "s", 1.1), ("b", "s", 1.2), ("b", "t", 1.0), ("a", "t", 1.0)], "version string, held_set string, bpb double")
     r = reports.compare_versions(curves).first()
     assert (r["wins"], r["losses"], r["unclear"]) == (1, 0, 1)
+
+
+def test_a_missing_score_is_an_error_unless_it_may_lack(spark):
+    docs = spark.createDataFrame([("a", False), ("b", True), ("c", None)], "id string, optional boolean")
+    scores = spark.createDataFrame([("a", 0.2), ("c", 0.7)], "id string, p double")
+    assert {(r["id"], r["p"]) for r in labels.join_scores(docs, scores, optional="optional").collect()} == {("a", 0.2), ("c", 0.7)}
+    with pytest.raises(Exception, match="no score for b"):
+        labels.join_scores(docs.drop("optional"), scores).collect()
+
+
+def test_release_rows_must_match_their_shard(spark):
+    docs = spark.createDataFrame([("s:1", "u", "t", "cc"), ("h:1", "v", None, "recrawl"), ("f:9", None, "w", "fw2"), ("f:8", None, "w", "fw2")], "id string, url string, text string, source string")
+    shards = spark.createDataFrame([("s:1", "u", "t", "crawl-data/CC-MAIN-2024-10/x", 0.9)], "id string, url string, text string, wet_file string, lid_prob double")
+    again = spark.createDataFrame([("h:1", 0.8, "2024-01-01T00:00:00Z")], "id string, lid_prob double, fetched string")
+    fold = spark.createDataFrame([("9", 0.5)], "id string, language_score double")
+    rows = {r["id"]: r for r in labels.release_rows(docs, shards, again, fold).collect()}
+    assert (rows["s:1"]["snapshot"], rows["s:1"]["lid_score"], rows["h:1"]["fetched"], rows["f:9"]["lid_score"], rows["f:8"]["lid_score"]) == ("CC-MAIN-2024-10", 0.9, "2024-01-01T00:00:00Z", 0.5, None)
+    with pytest.raises(Exception, match="does not match its shard"):
+        labels.release_rows(docs, shards.withColumn("text", F.lit("x")), again, fold).collect()
+
+
+def test_identifiers_and_confusion(spark):
+    from weftline.operators import lid
+
+    docs = spark.createDataFrame([(1, "da ne da\nwani"), (2, None), (3, "the a")], "id int, t string")
+    stops = spark.createDataFrame([("hau", "Da"), ("hau", "ne"), ("eng", "the"), ("fra", "a")], "lang string, word string")
+    assert {(r["id"], r["label"], r["prob"]) for r in lid.by_common_words(docs, stops, "id", "t").collect()} == {(1, "hau", 1.0), (2, None, 0.0), (3, "eng", 0.5)}
+    ours = lid.by_model(docs, lambda: lambda texts: (["x" if "\n" in t else "one" for t in texts], [0.5] * len(texts)), "id", "t")
+    assert {r["label"] for r in ours.collect()} == {"one"}
+    rows = spark.createDataFrame([("hau_Latn", "hau"), ("hau_Latn", "yor"), (None, "yor"), ("ibo", None)], "a string, b string")
+    assert {tuple(r) for r in lid.confusion(rows, "a", "b").collect()} == {("hau_Latn", "yor", 1), ("", "yor", 1), ("ibo", "", 1)}
+
+
+def test_scored_bytes_need_whole_pieces(spark):
+    df = spark.createDataFrame([("ab é cd", ["ab", " é", " cd"])], "t string, p array<string>")
+    assert df.select(reports.scored_bytes(F.col("p"), F.col("t"), 2)).first()[0] == 3
+    with pytest.raises(Exception, match="add up"):
+        df.select(reports.scored_bytes(F.slice("p", 1, 2), F.col("t"), 2)).collect()
+    assert reports.checkpoints(20) == [0, 2, 3, 4, 6, 8, 11, 16, 20]

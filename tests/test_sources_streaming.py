@@ -60,9 +60,46 @@ def test_html_text(html, text):
 
 
 def test_html_links_and_charset(spark):
-    df = spark.createDataFrame([("<a href='/x'>1</a> <A class=y href=\"z\">", "<loc> <![CDATA[https://a.example/1]]> </loc>", bytearray('<meta charset="latin-1">é'.encode("latin-1")))], "h string, s string, b binary")
-    r = df.select(readers.anchors(F.col("h")).alias("a"), readers.sitemap_urls(F.col("s")).alias("s"), readers.decoded_html("b").alias("t")).first()
-    assert r["a"] == ["/x", "z"] and r["s"] == ["https://a.example/1"] and r["t"].endswith("é")
+    latin = bytearray("é".encode("latin-1"))
+    rows = [("<a href='/x'>1</a> <A class=y href=\"z\"><link type='application/rss+xml' rel=x href='/f'><link href='/g' type='application/atom+xml'><link href='/i'>", "<loc> <![CDATA[https://a.example/1]]> </loc>", latin, None), ("", "", bytearray("é".encode()), "text/html"), ("", "", latin, "text/html; charset=latin-1"), ("", "", bytearray("é".encode()), "text/html; charset=latin-1"), ("", "", latin, "text/html; charset=none-such"), ("", "", None, None)]
+    df = spark.createDataFrame(rows, "h string, s string, b binary, c string")
+    out = df.select(readers.anchors(F.col("h")).alias("a"), readers.feed_links(F.col("h")).alias("f"), readers.sitemap_urls(F.col("s")).alias("s"), readers.decoded_html("b", "c").alias("t")).collect()
+    assert out[0]["a"] == ["/x", "z"] and out[0]["f"] == ["/f", "/g"] and out[0]["s"] == ["https://a.example/1"]
+    assert [r["t"] for r in out] == ["é", "é", "é", "Ã©", "é", None]
+
+
+@pytest.mark.parametrize("log, state", [("a\n  robots_ok 1\n", "fetched"), ("3 sitemap lines in robots.txt", "fetched"), ("0 sitemap lines in robots.txt", "not recorded"), ("robots_404_allow_all_per_rfc9309 2", "absent_4xx"), ("robots_503_assumed_open", "unreachable_assumed_open"), ("ok robots_ok", "not recorded"), (None, "not recorded")])
+def test_robots_by_log(spark, log, state):
+    assert spark.createDataFrame([(log,)], "l string").select(readers.robots_state(F.col("l"))).first()[0] == state
+
+
+def test_shards_lists_and_resume(spark, tmp_path):
+    path = str(tmp_path / "s")
+    docs = spark.createDataFrame([(i, f"t{i}\u2028", None, i % 3) for i in range(30)], "id int, content string, url string, shard int")
+    release.write_shards(docs, path, "shard", "id")
+    before = {f.name: f.read_bytes() for f in (tmp_path / "s").iterdir()}
+    release.write_shards(docs.where("id > 5"), path, "shard", "id")  # files that are there are left
+    assert before == {f.name: f.read_bytes() for f in (tmp_path / "s").iterdir()} and len(before) == 3
+    (tmp_path / "s" / "9.jsonl.zst").write_bytes(b"")
+    names = readers.frozen_list(spark, f"{path}/*.zst", str(tmp_path / "list"), 20)
+    (tmp_path / "s" / "late.jsonl.zst").write_bytes(before["0.jsonl.zst"])
+    assert readers.listed(spark, readers.frozen_list(spark, f"{path}/*.zst", names, 20), path) == [f"{path}/{i}.jsonl.zst" for i in range(3)]
+    assert readers.listed(spark, names, path, 1, 2) == [f"{path}/1.jsonl.zst"]
+    rows = readers.plain_json_lines(spark, f"{path}/0.jsonl.zst", "x").orderBy("text").collect()
+    assert {(r["id"], r["text"]) for r in rows} == {(f"x:0:{i}", f"t{3 * i}\u2028") for i in range(10)}
+    parts = release.fixed_parts(docs, 4, "id").groupBy("part").agg(F.min("line_no").alias("a"), F.max("line_no").alias("z"), F.count("*").alias("n")).collect()
+    assert all(r["a"] == 0 and r["z"] == r["n"] - 1 for r in parts) and sum(r["n"] for r in parts) == 30
+
+
+def test_shared_folder_must_be_set_on_a_cluster(spark, monkeypatch):
+    from weftline import session
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})  # noqa: N815
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        session.shared_dir(Cluster)
 
 
 def test_release_round_trip(spark, tmp_path):

@@ -62,3 +62,9 @@ def parents(host: Column) -> Column:
     """A host and all its parent domains."""
     parts = F.split(host, r"\.")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+
+
+def same_host(url: Column, host: Column) -> Column:
+    """The url's authority, without ``www.``, is the host; or it is a path from the root."""
+    own = F.regexp_replace(F.lower(F.coalesce(F.nullif(F.regexp_extract(url, AUTHORITY, 1), F.lit("")), F.regexp_extract(url, "^//([^/?#]*)", 1))), r"^www\.", "")
+    return (own == host) | ((own == "") & url.startswith("/"))

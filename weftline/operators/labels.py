@@ -49,6 +49,30 @@ def latest_scores(*tables: DataFrame) -> DataFrame:
     return out.groupBy("id").agg(F.max_by("p", "priority").alias("p"))
 
 
+def join_scores(docs: DataFrame, scores: DataFrame, id_col: str = "id", optional: str | None = None) -> DataFrame:
+    """``docs`` with their ``p``. A document without one is dropped if its column ``optional`` is true, and an error else."""
+    joined = docs.join(scores.select(id_col, "p"), id_col, "left")
+    may_lack = F.coalesce(F.col(optional), F.lit(False)) if optional else F.lit(False)
+    lacking = F.raise_error(F.concat(F.lit("no score for "), F.col(id_col).cast("string"))).cast("double")
+    return joined.withColumn("p", F.when(F.col("p").isNull() & ~may_lack, lacking).otherwise(F.col("p"))).where("p is not null")
+
+
+def release_rows(docs: DataFrame, shards: DataFrame, recrawl: DataFrame, folded: DataFrame) -> DataFrame:
+    """``docs`` (id, url, text, source) with what their source knows of them: snapshot, lid_score, fetched.
+
+    cc: by id among ``shards`` (id, url, text, wet_file, lid_prob), whose url and text must be the document's; recrawl:
+    by id in ``recrawl`` (id, lid_prob, fetched); fw2: by the id after its prefix in ``folded`` (id, language_score).
+    Every source is joined with its own documents only; texts are compared by hash.
+    """
+    part = lambda name: docs.where(F.col("source") == name)
+    own = shards.select("id", F.xxhash64("url", "text").alias("h"), F.split_part("wet_file", F.lit("/"), F.lit(2)).alias("snapshot"), F.col("lid_prob").alias("lid_score"))
+    other = F.raise_error(F.concat(F.col("id"), F.lit(" does not match its shard"))).cast("string")
+    cc = part("cc").withColumn("g", F.xxhash64("url", "text")).join(own, "id", "left").withColumn("snapshot", F.when(F.col("g").eqNullSafe(F.col("h")), F.col("snapshot")).otherwise(other)).drop("g", "h").withColumn("fetched", F.lit(None).cast("string"))
+    again = part("recrawl").join(recrawl.select("id", F.col("lid_prob").alias("lid_score"), F.col("fetched").cast("string").alias("fetched")), "id", "left")
+    fold = part("fw2").withColumn("k", F.regexp_replace("id", "^[^:]*:", "")).join(folded.select(F.col("id").alias("k"), F.col("language_score").alias("lid_score")), "k", "left").drop("k")
+    return cc.unionByName(again, allowMissingColumns=True).unionByName(fold, allowMissingColumns=True)
+
+
 def metrics(scored: DataFrame, by: str = "lang", threshold: float = 0.5) -> DataFrame:
     """Accuracy, precision, recall and base rate of ``p > threshold`` against ``keep``, by language and over all (``all``)."""
     hit = (F.col("p") > threshold).cast("int")

@@ -29,14 +29,16 @@ def _order(seed: int, id_col: str) -> list[Column]:
 
 def running_sum(rows: DataFrame, groups: list[str], order: list[str | Column], value: str, out: str = "running") -> DataFrame:
     """``rows`` with the sum of ``value`` over their group's rows up to each, in an order without ties; nulls count 0."""
-    part, base = "_part", "_base"
+    part, base = "__range", "__base"
     filled = rows.withColumn(value, F.coalesce(value, F.lit(0)))
     ranged = cut(filled.repartitionByRange(*groups, *order).withColumn(part, F.spark_partition_id()), "ranges")
     sums = ranged.groupBy(*groups, part).agg(F.sum(value).alias(base))  # a row for each group and range
     before = Window.partitionBy(*groups).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn(base, F.coalesce(F.sum(base).over(before), F.lit(0)))
+    starts = sums.select(*(F.col(g).alias(f"__{g}") for g in groups), F.col(part).alias("__of"), F.coalesce(F.sum(base).over(before), F.lit(0)).alias(base))
     own = F.sum(value).over(Window.partitionBy(*groups, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.withColumn(out, own).join(starts.select(*(F.col(g).alias(f"_{g}") for g in groups), F.col(part).alias("_p"), base), [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups] + [F.col(part) == F.col("_p")]).withColumn(out, F.col(out) + F.col(base)).drop(part, base, "_p", *(f"_{g}" for g in groups))
+    same = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups]
+    joined = ranged.withColumn(out, own).join(starts, [*same, F.col(part) == F.col("__of")])
+    return joined.withColumn(out, F.col(out) + F.col(base)).drop(part, base, "__of", *(f"__{g}" for g in groups))
 
 
 def budget_prefix(docs: DataFrame, budget: int, id_col: str, size: str, groups: list[str], seed: int = 0) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,3 +69,20 @@ def score_sql(key: str) -> str:
 def grams_sql(source: str, key: str, n: int) -> str:
     """Distinct (key, gram) from a table (key, w) of token lists."""
     return f"select distinct {key}, array_to_string(w[i:i + {n - 1}], ' ') as gram from (select {key}, w, unnest(range(1, len(w) - {n - 2})) as i from {source} where len(w) >= {n})"
+
+
+DROPPED = ("gidan-labaru.example", "ng.example", "blog6.pulse-fenameyu.example", "shop.com")
+DROPPED_SQL = "[" + ", ".join(f"'{h}'" for h in DROPPED) + "]"
+
+
+def parents_sql(host: str) -> str:
+    return f"list_transform(range(1, len(string_split({host}, '.')) + 1), lambda i: array_to_string(string_split({host}, '.')[i:], '.'))"
+
+
+def pick(options: Sequence[str | None], key: str) -> Column:
+    """One of several texts by a number's remainder: test urls for rules that the tables never trigger."""
+    return F.element_at(F.array(*map(F.lit, options)), (F.col(key) % len(options) + 1).cast("int"))
+
+
+def pick_sql(options: Sequence[str | None], key: str) -> str:
+    return "[" + ", ".join("null" if o is None else "'" + o + "'" for o in options) + f"][({key} % {len(options)} + 1)::INT]"

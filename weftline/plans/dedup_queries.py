@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.functions import urls as U
-from weftline.operators import boilerplate, decontam, minhash
+from weftline.operators import boilerplate, decontam, labels, minhash, reports
 from weftline.operators.components import star_edges
 from weftline.plans.base import dedup_url_sql, grams_sql, query, score_sql, site_sql, strip_sql, tokens_sql
-from weftline.session import table
+from weftline.session import cut, table
 
 LONGS = lambda xs: "[" + ", ".join(f"{int(x)}::HUGEINT" for x in xs) + "]"
 SIGNED_CTE = f"""dt as (select doc_id, {tokens_sql('text')} as w from documents),
@@ -92,9 +92,15 @@ def cross_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return each.agg(F.count("*").alias("n_clusters"), F.sum(F.col("crawls") - 1).alias("cross_snapshot"), F.sum(F.when(F.col("size") < 30, F.col("size")).otherwise(0)).alias("in_small"))
 
 
-@query(f"with r as (select doc_id, source, row_number() over (partition by source, md5(text) order by {dedup_url_sql('url')}, doc_id) as n from documents where text is not null) select doc_id, source from r where n > 1")
+RECRAWLED = "recrawled as (select doc_id, source, url, text from documents union all select doc_id + 1000000000, source, 'https://a.example/' || doc_id, text from documents where doc_id % 4 = 0)"
+
+
+@query(f"with {RECRAWLED}, r as (select doc_id, source, row_number() over (partition by source, md5(text) order by {dedup_url_sql('url')}, doc_id) as n from recrawled where text is not null) select doc_id, source from r where n > 1")
 def exact_dup(spark: SparkSession, d: str) -> DataFrame:
-    rows = docs_of(spark, d).where("text is not null").select("doc_id", "source", F.md5("text").alias("h"), U.dedup_url(F.col("url")).alias("u"))
+    """Documents and copies of a quarter of them under other urls: all but the smallest url of a host's equal texts."""
+    docs = docs_of(spark, d).select("doc_id", "source", "url", "text")
+    copies = docs.where("doc_id % 4 = 0").select(F.col("doc_id") + 1_000_000_000, "source", F.concat(F.lit("https://a.example/"), F.col("doc_id").cast("string")), "text")
+    rows = docs.union(copies).where("text is not null").select("doc_id", "source", F.md5("text").alias("h"), U.dedup_url(F.col("url")).alias("u"))
     return minhash.beyond_first(rows, ["source", "h"], ["u", "doc_id"]).select("doc_id", "source")
 
 
@@ -148,9 +154,16 @@ def _pool(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return docs.where(F.col("snapshot") < last), docs.where(F.col("snapshot") == last)
 
 
-@query(f"select doc_id from documents where not (doc_id in (select doc_id from (select doc_id, row_number() over (partition by source, md5(text) order by {dedup_url_sql('url')}, doc_id) as n from documents where text is not null) where n > 1))")
+@query(f"with recursive {CLUSTERS_CTE} select doc_id from documents where doc_id not in (select doc_id from clusters where doc_id <> cluster)")
 def anti_drop(spark: SparkSession, d: str) -> DataFrame:
-    return docs_of(spark, d).select("doc_id").join(exact_dup(spark, d).select("doc_id"), "doc_id", "left_anti")
+    """The documents without those on the drop list of near-duplicates."""
+    return docs_of(spark, d).select("doc_id").join(drop_global(spark, d).select("doc_id"), "doc_id", "left_anti")
+
+
+@query(f"with recursive {CLUSTERS_CTE} select source, count(*) as docs, sum((doc_id <> cluster)::INT)::BIGINT as dropped from clusters join documents using (doc_id) group by 1")
+def drop_by_host(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents of each host the drop list takes."""
+    return reports.dropped_by(docs_of(spark, d), drop_global(spark, d), "doc_id", "source")
 
 
 @query(f"""with {BANDS_CTE}, pool as (select * from documents where {POOL}), new as (select * from documents where not ({POOL}))
@@ -160,7 +173,7 @@ def anti_known(spark: SparkSession, d: str) -> DataFrame:
     pool, new = _pool(spark, d)
     urls = pool.where("url is not null").select(U.dedup_url(F.col("url")).alias("u")).distinct()
     fresh = new.withColumn("u", U.dedup_url(F.col("url"))).join(urls, "u", "left_anti").select("doc_id")
-    keys = minhash.banded(docs_of(spark, d))
+    keys = cut(minhash.banded(docs_of(spark, d)), "bands")  # signed once, used twice
     known = keys.join(pool.select("doc_id"), "doc_id", "left_semi").select("band", "key").distinct()
     met = keys.join(new.select("doc_id"), "doc_id", "left_semi").join(known, ["band", "key"], "left_semi").select("doc_id").distinct()
     return fresh.join(met, "doc_id", "left_anti")
@@ -169,7 +182,7 @@ def anti_known(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {BANDS_CTE} select doc_id from documents where not ({POOL}) and doc_id not in (select b.doc_id from bands b join bands p using (band, key) where p.doc_id in (select doc_id from documents where {POOL}))")
 def anti_bandkey(spark: SparkSession, d: str) -> DataFrame:
     pool, new = _pool(spark, d)
-    keys = minhash.banded(docs_of(spark, d))
+    keys = cut(minhash.banded(docs_of(spark, d)), "bands")  # signed once, used twice
     known = keys.join(pool.select("doc_id"), "doc_id", "left_semi").select("band", "key").distinct()
     met = keys.join(new.select("doc_id"), "doc_id", "left_semi").join(known, ["band", "key"], "left_semi").select("doc_id").distinct()
     return new.select("doc_id").join(met, "doc_id", "left_anti")
@@ -180,18 +193,36 @@ def anti_bandkey(spark: SparkSession, d: str) -> DataFrame:
 def corpus_overlap(spark: SparkSession, d: str) -> DataFrame:
     pool, new = _pool(spark, d)
     texts = pool.where("text is not null").select(F.md5("text").alias("h")).distinct().withColumn("same", F.lit(True))
-    keys = minhash.banded(docs_of(spark, d))
+    keys = cut(minhash.banded(docs_of(spark, d)), "bands")  # signed once, used twice
     known = keys.join(pool.select("doc_id"), "doc_id", "left_semi").select("band", "key").distinct()
     met = keys.join(new.select("doc_id"), "doc_id", "left_semi").join(known, ["band", "key"], "left_semi").select("doc_id").distinct().withColumn("band", F.lit(True))
     both = new.select("doc_id", F.md5("text").alias("h")).join(texts, "h", "left").join(met, "doc_id", "left")
     return both.groupBy(F.when(F.col("same"), "same text").when(F.col("band"), "shared band").otherwise("apart").alias("overlap")).agg(F.count("*").alias("n"))
 
 
-@query(f"select a.id, {score_sql('a.id')} as p, {score_sql('a.id')} > 0.5 as kept from (select distinct id from build_a) a")
+@query("select id, p, p > 0.5 as kept from (select distinct id from build_a) a join (select doc_id as id, round(avg((label = 1)::INT), 4) as p from build_label_dataset where label is not null group by 1) s using (id)")
 def join_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Pool records with their labels' mean as score; those never labelled may lack one."""
+    rows = table(spark, d, "build_label_dataset")
+    scores = rows.where("label is not null").groupBy(F.col("doc_id").alias("id")).agg(F.round(F.avg((F.col("label") == 1).cast("int")), 4).alias("p"))
     ids = table(spark, d, "build_a").select("id").distinct()
-    scores = table(spark, d, "build_a").select("id", score("id").alias("p")).distinct()
-    return ids.join(scores, "id").withColumn("kept", F.col("p") > 0.5)
+    unscored = ids.join(scores, "id", "left_anti").withColumn("optional", F.lit(True))
+    return labels.join_scores(ids.join(unscored, "id", "left"), scores, optional="optional").select("id", "p", (F.col("p") > 0.5).alias("kept"))
+
+
+@query("""with p as (select page_id, min(url) as url, min(wet_text) as text, min(wet_file) as wet_file, min(lid_prob) as lid_prob, min(fetched) as fetched from apply_filters group by 1)
+    select case page_id % 3 when 0 then page_id::VARCHAR when 1 then 'h:' || page_id else 'fold:' || page_id end as id, case page_id % 3 when 0 then 'cc' when 1 then 'recrawl' else 'fw2' end as source, case when page_id % 3 = 0 then split_part(wet_file, '/', 2) end as snapshot,
+        round(case when page_id % 3 < 2 then lid_prob else page_id / 7.0 end, 6) as lid_score, case when page_id % 3 = 1 then strftime(fetched, '%Y-%m-%d %H:%M:%S') end as fetched from p""")
+def release_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as release rows of three sources, each looked up where its source is known; a row that isn't its shard's is an error."""
+    pages = table(spark, d, "apply_filters").groupBy("page_id").agg(*(F.min(c).alias(c) for c in ("url", "wet_text", "wet_file", "lid_prob", "fetched")))
+    kind, key = F.col("page_id") % 3, F.col("page_id").cast("string")
+    ids = F.when(kind == 0, key).when(kind == 1, F.concat(F.lit("h:"), key)).otherwise(F.concat(F.lit("fold:"), key))
+    docs = pages.select(ids.alias("id"), "url", F.col("wet_text").alias("text"), F.when(kind == 0, "cc").when(kind == 1, "recrawl").otherwise("fw2").alias("source"))
+    shards = pages.select(key.alias("id"), "url", F.col("wet_text").alias("text"), "wet_file", "lid_prob")
+    again = pages.select(F.concat(F.lit("h:"), key).alias("id"), "lid_prob", F.date_format("fetched", "yyyy-MM-dd HH:mm:ss").alias("fetched"))
+    folded = pages.select(key.alias("id"), (F.col("page_id") / 7.0).alias("language_score"))
+    return labels.release_rows(docs, shards, again, folded).select("id", "source", "snapshot", F.round("lid_score", 6).alias("lid_score"), "fetched")
 
 
 def score(key: str) -> Column:
@@ -212,11 +243,15 @@ def pool_overlap(spark: SparkSession, d: str) -> DataFrame:
     return docs_of(spark, d).join(shared, "snapshot", "left_semi").groupBy("snapshot").agg(F.count("*").alias("n"))
 
 
-@query("""with named as (select distinct snapshot from documents), seen as (select distinct regexp_extract(wet_file, 'crawl-data/(CC-MAIN-\\d{4}-\\d{2})/', 1) as snapshot from apply_filters)
-    select snapshot, 'named only' as side from (select * from named except select * from seen) union all select snapshot, 'seen only' from (select * from seen except select * from named)""")
+@query("""with named as (select distinct snapshot from documents where snapshot > (select min(snapshot) from documents)), seen as (select distinct regexp_extract(wet_file, 'crawl-data/(CC-MAIN-\\d{4}-\\d{2})/', 1) as snapshot from apply_filters),
+    part as (select snapshot from seen where snapshot < (select max(snapshot) from seen))
+    select snapshot, 'named only' as side from (select * from named except select * from part) union all select snapshot, 'seen only' from (select * from part except select * from named)""")
 def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
+    """The snapshots that a set names but the first, against those that the pages are of but the last."""
     named = docs_of(spark, d).select("snapshot").distinct()
     seen = table(spark, d, "apply_filters").select(F.regexp_extract("wet_file", r"crawl-data/(CC-MAIN-\d{4}-\d{2})/", 1).alias("snapshot")).distinct()
+    first, last = named.agg(F.min("snapshot")).first()[0], seen.agg(F.max("snapshot")).first()[0]  # one value each
+    named, seen = named.where(F.col("snapshot") > first), seen.where(F.col("snapshot") < last)
     return named.exceptAll(seen).withColumn("side", F.lit("named only")).union(seen.exceptAll(named).withColumn("side", F.lit("seen only")))
 
 

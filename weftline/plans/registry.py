@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.plans import base
-from weftline.plans import dedup_queries, table_queries, text_queries  # noqa: F401
+from weftline.plans import dedup_queries, io_queries, table_queries, text_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from weftline.functions import text as T
 from weftline.functions import urls as U
 from weftline.operators import labels as L
 from weftline.operators import reports, sampling
-from weftline.plans.base import query, score_sql, site_sql, tokens_sql
+from weftline.plans.base import pick, pick_sql, query, score_sql, site_sql, tokens_sql
 from weftline.plans.dedup_queries import score
 from weftline.session import table
 
@@ -77,6 +77,15 @@ def quality_score(spark: SparkSession, d: str) -> DataFrame:
     return L.keep_probability(train.join(texts, "doc_id").select("text", "keep"), table(spark, d, "build_a").select("id", "text").distinct())
 
 
+@query()
+def cls_heldout(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of the real model: fitted on the training split, measured on the test split, whose hosts it doesn't know."""
+    train, test = _split(spark, d)
+    texts = table(spark, d, "build_label_dataset").where("text is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
+    scored = L.keep_probability(train.join(texts, "doc_id").select("text", "keep"), test.join(texts, "doc_id").select("doc_id", "text"), "doc_id")
+    return L.metrics(test.join(scored.withColumnRenamed("id", "doc_id"), "doc_id"))
+
+
 @query(f"select id, case when id like '%7' then 0.9 else {score_sql('id')} end as p from (select distinct id from build_a)")
 def score_override(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "build_a").select("id").distinct()
@@ -121,10 +130,46 @@ def site_cap(spark: SparkSession, d: str) -> DataFrame:
     return sampling.site_cap(sized(spark, d), 0.2, "doc_id", "n", "lang", "site")
 
 
-@query(f"with {SIZED_CTE}, v as (select lang, doc_id % 3 as version, sum(n) as tokens from sized group by 1, 2) select lang, min(tokens)::BIGINT as quota from v group by 1")
+QUOTA_CTE = "quota as (select lang, min(tokens)::BIGINT as budget from (select lang, doc_id % 3 as version, sum(n) as tokens from sized group by 1, 2) group by 1)"
+
+
+def _versions(spark: SparkSession, d: str) -> DataFrame:
+    return sized(spark, d).withColumn("version", F.col("doc_id") % 3)
+
+
+@query(f"with {SIZED_CTE}, {QUOTA_CTE} select lang, budget as quota from quota")
 def lang_quota(spark: SparkSession, d: str) -> DataFrame:
-    versions = sized(spark, d).groupBy("lang", (F.col("doc_id") % 3).alias("version")).agg(F.sum("n").alias("tokens"))
-    return versions.groupBy("lang").agg(F.min("tokens").alias("quota"))
+    return sampling.language_quota(_versions(spark, d), "version", "lang", "n").select("lang", F.col("budget").alias("quota"))
+
+
+def fill_sql(rows: str, group: str, seed: int) -> str:
+    """CTEs up to ``filled``: a greedy pass over ``rows`` (group, doc_id, n, budget)."""
+    return f"""o as (select {group}, doc_id, n, budget, row_number() over (partition by {group} order by md5('{seed}:' || doc_id), doc_id) as r from {rows}),
+    f as (select {group}, doc_id, r, budget, n <= budget as take, case when n <= budget then n else 0 end as got from o where r = 1
+        union all select o.{group}, o.doc_id, o.r, o.budget, f.got + o.n <= o.budget, f.got + case when f.got + o.n <= o.budget then o.n else 0 end from f join o on o.{group} = f.{group} and o.r = f.r + 1),
+    filled as (select {group}, doc_id from f where take)"""
+
+
+@query(f"with recursive {SIZED_CTE}, {QUOTA_CTE}, v as (select doc_id % 3 || ':' || lang as part, doc_id, n, budget from sized join quota using (lang)), {fill_sql('v', 'part', 5)} select part, doc_id from filled")
+def quota_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Every version filled up to its languages' quotas."""
+    docs = _versions(spark, d)
+    quota = sampling.language_quota(docs, "version", "lang", "n")
+    part = F.concat_ws(":", F.col("version").cast("string"), "lang").alias("part")
+    budgets = docs.select("version", "lang").distinct().join(quota, "lang").select(part, "budget")
+    return sampling.greedy_fill(docs.select(part, "doc_id", "n"), budgets, "doc_id", "n", "part", 5)
+
+
+@query(f"with recursive {SIZED_CTE}, b as (select min(tokens)::BIGINT as budget from (select sum(n) as tokens from sized group by doc_id % 3)), v as (select doc_id % 3 as version, doc_id, n, budget from sized, b), {fill_sql('v', 'version', 6)} select version, doc_id from filled")
+def budget_global(spark: SparkSession, d: str) -> DataFrame:
+    """Every version filled up to the smallest version's tokens."""
+    docs = _versions(spark, d)
+    return sampling.greedy_fill(docs, sampling.global_budget(docs, "version", "n"), "doc_id", "n", "version", 6)
+
+
+@query(f"with {SIZED_CTE} select ((row_number() over (order by n desc, doc_id) - 1) // 64)::BIGINT as batch, doc_id as id, n as size from sized")
+def length_batches(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.length_batches(sized(spark, d), "doc_id", "n", 64)
 
 
 @query("select pass, count(*) as n, count(distinct doc_id) as ids from documents, (select unnest([1, 2, 3]) as pass) group by 1")
@@ -160,12 +205,16 @@ def distinct_sites(spark: SparkSession, d: str) -> DataFrame:
     return docs.rollup("lang").agg(F.count_distinct("source").alias("sites"), F.count_distinct("doc_id").alias("ids")).select(F.coalesce("lang", F.lit("all")).alias("lang"), "sites", "ids")
 
 
-@query(f"with {SIZED_CTE}, e as (select unnest([lang, 'all']) as lang, site, n from sized) select lang, sum(n)::BIGINT as tokens, round(sum(case when site like '%.ng.example' then n else 0 end) / sum(n), 6) as ng_share, round(sum(case when site like 'gidan%' then n else 0 end) / sum(n), 6) as gidan_share from e group by 1")
+PROFILE_SITES = ("", "jw.org", "", "wol.jw.org", "", "biblica.example", "ha.wikipedia.org", "mybeblia.example", "ajw.org", "")
+
+
+@query(f"""with {SIZED_CTE}, m as (select *, case when {pick_sql(PROFILE_SITES, 'doc_id')} = '' then site else {pick_sql(PROFILE_SITES, 'doc_id')} end as s from sized), e as (select unnest([lang, 'all']) as lang, s, n from m),
+    t as (select lang, s, sum(n) as n, row_number() over (partition by lang order by sum(n) desc, s) as r from e group by 1, 2)
+    select lang, sum(n)::BIGINT as tokens, round(sum(case when s in ('jw.org', 'wol.jw.org', 'biblica.example', 'mybeblia.example') then n else 0 end) / sum(n), 6) as bible_share, round(sum(case when s = 'ha.wikipedia.org' then n else 0 end) / sum(n), 6) as wiki_share, round(sum(case when r <= 10 then n else 0 end) / sum(n), 6) as top_share from t group by 1""")
 def profile(spark: SparkSession, d: str) -> DataFrame:
-    """Token shares of site classes by language and over all."""
-    share = lambda c, name: F.round(F.sum(F.when(c, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias(name)
-    rows = reports.with_total(sized(spark, d), "lang")
-    return rows.groupBy("lang").agg(F.sum("n").alias("tokens"), share(F.col("site").endswith(".ng.example"), "ng_share"), share(F.col("site").startswith("gidan"), "gidan_share"))
+    """Token shares of Bible sites, wikis and the ten largest sites, by language and over all; some sites are named so that the classes occur."""
+    kind = pick(PROFILE_SITES, "doc_id")
+    return reports.profile(sized(spark, d).withColumn("site", F.when(kind == "", F.col("site")).otherwise(kind)), "lang", "site", "n")
 
 
 @query(f"""with {SIZED_CTE}, s as (select site, sum(n) as tokens, count(*) as docs from sized group by 1), b as (select *, sum(tokens) over () as total from s), g as (select * from b where tokens > 0.05 * total),
@@ -185,40 +234,55 @@ def token_mix(spark: SparkSession, d: str) -> DataFrame:
     return sums.withColumn("share", F.round(F.col("tokens") / F.sum("tokens").over(Window.partitionBy("version")), 6))
 
 
-@query("""with c as (select 'v' || (doc_id % 3) as version, coalesce(lang, '') as held_set, doc_id % 4 as seed, sum(length(text)) / 1000.0::DOUBLE as bpb from documents where text is not null group by 1, 2, 3),
-    m as (select version, held_set, min(bpb) as low, max(bpb) as high from c group by 1, 2)
-    select x.version as a, y.version as b, sum((x.high < y.low)::INT)::BIGINT as wins, sum((x.low > y.high)::INT)::BIGINT as losses, sum((not x.high < y.low and not x.low > y.high)::INT)::BIGINT as unclear from m x join m y using (held_set) where x.version < y.version group by 1, 2""")
-def compare_versions(spark: SparkSession, d: str) -> DataFrame:
-    """Win, loss or unclear between versions over held-out sets, on curves derived from the documents."""
-    docs = table(spark, d, "documents").where("text is not null")
-    curves = docs.groupBy(F.concat(F.lit("v"), F.col("doc_id") % 3).alias("version"), F.coalesce("lang", F.lit("")).alias("held_set"), (F.col("doc_id") % 4).alias("seed")).agg((F.sum(F.length("text")) / F.lit(1000.0)).alias("bpb"))
-    return reports.compare_versions(curves)
+CURVES_CTE = f"""dw as (select doc_id % 3 as v, doc_id % 4 as seed, unnest({tokens_sql('text')}) as w from documents), dc as (select v, seed, w, count(*) as c from dw group by 1, 2, 3), dn as (select v, seed, sum(c) as total, count(*) as kinds from dc group by 1, 2),
+    hw as (select set_name, w, count(*) as c from (select set_name, unnest({tokens_sql('text')}) as w from held_out) group by 1, 2), hb as (select set_name, sum(octet_length(encode(text))) as bytes from held_out group by 1),
+    nat as (select v, seed, set_name, sum(-hw.c * ln((coalesce(dc.c, 0) + 1) / (total + kinds + 1))) as nats from hw cross join dn left join dc using (v, seed, w) group by 1, 2, 3),
+    curves as (select 'v' || v as version, set_name as held_set, seed, round(nats / bytes / ln(2), 4) as bpb from nat join hb using (set_name))"""
+
 
+def _curves(spark: SparkSession, d: str) -> DataFrame:
+    """(version, held_set, seed, bpb): bits per byte of the held-out sets under word frequencies of thirds of the documents, a quarter a seed."""
+    words = lambda t, *keys: t.select(*keys, F.explode(T.tokens(T.nfc(F.coalesce("text", F.lit(""))))).alias("w"))
+    counts = words(table(spark, d, "documents"), (F.col("doc_id") % 3).alias("v"), (F.col("doc_id") % 4).alias("seed")).groupBy("v", "seed", "w").agg(F.count("*").alias("c"))
+    totals = counts.groupBy("v", "seed").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
+    held = table(spark, d, "held_out")
+    sets = words(held, "set_name").groupBy("set_name", "w").agg(F.count("*").alias("n"))
+    n_bytes = held.groupBy("set_name").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    every = sets.withColumn("v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")))).withColumn("seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
+    p = (F.coalesce("c", F.lit(0)) + 1) / (F.col("total") + F.col("kinds") + 1)
+    nats = every.join(totals, ["v", "seed"]).join(counts, ["v", "seed", "w"], "left").groupBy("v", "seed", "set_name").agg(F.sum(-F.col("n") * F.log(p)).alias("nats"))
+    return nats.join(n_bytes, "set_name").select(F.concat(F.lit("v"), F.col("v").cast("string")).alias("version"), F.col("set_name").alias("held_set"), "seed", reports.bits_per_byte(F.col("nats"), F.col("bytes")).alias("bpb"))
 
-@query("select coalesce(lang, '') as theirs, coalesce(regexp_extract(wet_file, 'P00-0000(\\d)', 1), '') as part, count(*) as n from apply_filters group by 1, 2")
-def lid_confusion(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "apply_filters").groupBy(F.coalesce("lang", F.lit("")).alias("theirs"), F.regexp_extract("wet_file", r"P00-0000(\d)", 1).alias("part")).agg(F.count("*").alias("n"))
+
+@query(f"with {CURVES_CTE} select * from curves")
+def bpb(spark: SparkSession, d: str) -> DataFrame:
+    return _curves(spark, d)
 
 
-@query(f"with h as (select {site_sql('url')} as host, max(lang) as lang from apply_filters where url is not null group by 1) select coalesce(lang, '') as lang, case when host like '%.ng.example' then 'blocked' when host like 'gidan%' then 'never' else 'seed' end as outcome, count(*) as n from h group by 1, 2")
-def seed_counts(spark: SparkSession, d: str) -> DataFrame:
-    hosts = table(spark, d, "apply_filters").where("url is not null").groupBy(U.site(F.col("url")).alias("host")).agg(F.max("lang").alias("lang"))
-    outcome = F.when(F.col("host").endswith(".ng.example"), "blocked").when(F.col("host").startswith("gidan"), "never").otherwise("seed")
-    return hosts.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), outcome.alias("outcome")).agg(F.count("*").alias("n"))
+@query(f"with {CURVES_CTE} select version, held_set, round(avg(bpb), 4) as mean, min(bpb) as low, max(bpb) as high from curves group by 1, 2")
+def seed_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and range over seeds of each version on each held-out set."""
+    return reports.seed_ranges(_curves(spark, d))
+
+
+@query(f"""with {CURVES_CTE}, m as (select version, held_set, min(bpb) as low, max(bpb) as high from curves group by 1, 2)
+    select x.version as a, y.version as b, sum((x.high < y.low)::INT)::BIGINT as wins, sum((x.low > y.high)::INT)::BIGINT as losses, sum((not x.high < y.low and not x.low > y.high)::INT)::BIGINT as unclear from m x join m y using (held_set) where x.version < y.version group by 1, 2""")
+def compare_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Win, loss or unclear between versions over held-out sets."""
+    return reports.compare_versions(_curves(spark, d))
 
 
-@query(f"select distinct {site_sql('url')} as host from apply_filters where url is not null and not (url like '%.ng.example%')")
-def seeds(spark: SparkSession, d: str) -> DataFrame:
-    hosts = table(spark, d, "apply_filters").where("url is not null").select(U.site(F.col("url")).alias("host"), "url")
-    blocked = hosts.where("url like '%.ng.example%'").select("url").distinct()
-    return hosts.join(blocked, "url", "left_anti").select("host").distinct()
+@query(r"""with p as (select item_id, text, regexp_extract_all(text, '[ \n]*[^ \n]+|[ \n]+') as p from held_out) select item_id, list_sum(list_transform(p[2:8], lambda x: octet_length(encode(x))))::INT as scored from p""")
+def scored_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of the pieces that a loss is taken on in a context of 8; words with the space before them stand for tokens."""
+    pieces = F.regexp_extract_all("text", F.lit(r"[ \n]*[^ \n]+|[ \n]+"), F.lit(0))
+    return table(spark, d, "held_out").select("item_id", F.nullif(reports.scored_bytes(pieces, F.col("text"), 8), F.lit(0)).alias("scored"))
 
 
-@query(f"with r as (select distinct source as host, case when length(source) % 2 = 0 then 'obeyed' end as robots from documents) select doc_id, coalesce(robots, 'not recorded') as robots from documents left join (select * from r where robots is not null) r on r.host = documents.source")
-def robots_state(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    state = docs.select(F.col("source").alias("host")).distinct().where("length(host) % 2 = 0").withColumn("robots", F.lit("obeyed"))
-    return docs.join(state, docs["source"] == state["host"], "left").select("doc_id", F.coalesce("robots", F.lit("not recorded")).alias("robots"))
+@query("with s as (select count(*) as steps from documents) select distinct least(steps, p)::BIGINT as step from s, (select unnest(list_transform(range(2, 40), lambda i: round_even(2 ** (i / 2), 0)::BIGINT)) as p union all select 0 union all select 1000000000) order by 1")
+def checkpoints(spark: SparkSession, d: str) -> DataFrame:
+    """The steps at which a run of as many steps as there are documents is measured."""
+    return spark.createDataFrame([(s,) for s in reports.checkpoints(table(spark, d, "documents").count())], "step long")
 
 
 @query(f"""with pages as (select {site_sql('url')} as host, max(lid_prob) as lid_score, max(split_part(wet_file, '/', 2)) as snapshot from apply_filters where url is not null group by 1), p as (select distinct id, url, text from build_a)
@@ -231,12 +295,6 @@ def release_join(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("id", "domain", F.when(F.col("snapshot").isNull(), "unknown").otherwise("cc").alias("source"), "snapshot", F.round("lid_score", 6).alias("lid_score"))
 
 
-@query("select set_name, round(sum(length(text)) / sum(octet_length(encode(text))) / ln(2), 4) as bpb from held_out group by 1")
-def bpb(spark: SparkSession, d: str) -> DataFrame:
-    """Bits per byte from sums over a set; the nats are stood in for by characters."""
-    return table(spark, d, "held_out").groupBy("set_name").agg(F.round(F.sum(F.length("text")) / F.sum(F.octet_length("text")) / F.log(F.lit(2.0)), 4).alias("bpb"))
-
-
 # --- general relational queries
 
 @query("select l_returnflag, l_linestatus, sum(l_quantity) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n from lineitem where l_shipdate <= date '1998-09-02' group by 1, 2")
@@ -267,24 +325,3 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
     from weftline.streaming.ingest import run_windowed_counts
 
     return run_windowed_counts(spark, d, "events.parquet", EVENT)
-
-
-@query("select doc_id, length(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '\\s+', ' ', 'g')) > 0 as has_text from documents where text is not null")
-def html_extract(spark: SparkSession, d: str) -> DataFrame:
-    """Main text of pages made of the documents' texts with navigation and scripts around them."""
-    from weftline.sources.readers import html_text
-
-    escaped = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    page = F.concat(F.lit("<html><head><script>var a=1;</script></head><body><nav>Menu</nav><article><p>"), escaped, F.lit("</p></article><footer>x</footer></body></html>"))
-    pages = table(spark, d, "documents").where("text is not null").select("doc_id", page.alias("html"))
-    return pages.select("doc_id", (F.length(html_text("html")) > 0).alias("has_text"))
-
-
-@query("select page_id, count(*) as links from (select distinct page_id, url from apply_filters where url is not null) group by 1")
-def html_links(spark: SparkSession, d: str) -> DataFrame:
-    """Links by pattern from pages made of the tables' urls."""
-    from weftline.sources.readers import anchors
-
-    pages = table(spark, d, "apply_filters").where("url is not null").select("page_id", "url").distinct()
-    html = pages.groupBy("page_id").agg(F.concat_ws("\n", F.collect_list(F.concat(F.lit("<a class='x' href=\""), "url", F.lit('">x</a>')))).alias("html"))
-    return html.select("page_id", F.size(anchors(F.col("html"))).cast("long").alias("links"))

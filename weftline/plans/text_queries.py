@@ -8,31 +8,22 @@ from pyspark.sql import functions as F
 from weftline.functions import text as T
 from weftline.functions import urls as U
 from weftline.operators import boilerplate as B
+from weftline.operators import lid as L
 from weftline.operators import reports, rules
-from weftline.plans.base import LINE_END, WS, dedup_url_sql, full_lines_sql, lines_sql, path_sql, query, site_sql, strip_sql, tokens_sql, words_sql
+from weftline.plans.base import DROPPED, DROPPED_SQL, LINE_END, WS, dedup_url_sql, full_lines_sql, lines_sql, parents_sql, path_sql, pick, pick_sql, query, site_sql, strip_sql, tokens_sql, words_sql
 from weftline.session import table
 
 SLUG = r"([^/?#]+)/?(?:[?#].*)?$"
 NAMESPACES = ("Musamman:", "Tattaunawar_user:", "", "ISO_3166-2:", "Rukuni:", "oníṣe:", "x?action=edit&t=")
-HOSTS = ("ha.shop.com", "yo.legit.ng", "ig.jw.org", "www.tool.com", "news.bbc.com", "voahausa.com", "yor.bbc.co.uk", "ha.wikipedia.org")
+HOSTS = ("ha.shop.com", "yo.legit.ng", "ig.jw.org", "www.tool.com", "news.bbc.com", "voahausa.com", "yor.bbc.co.uk", "ha.wikipedia.org", "biblehub.com", "m.facebook.com")
 FOLDERS = ("/yo/x", "/ha-ng/", "/hausa/", "/ig", "/wiki/Kano", "/tag/a", "/IBO")
 BANNERS = ("Skip to content", "Home |", "SHARE THIS")
-DROPPED = ("gidan-labaru.example", "ng.example", "blog6.pulse-fenameyu.example")
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "apply_filters")
 
 
-def pick(options: tuple[str, ...], key: str) -> Column:
-    """One of several texts by a number's remainder: test urls for rules that the tables never trigger."""
-    return F.element_at(F.array(*map(F.lit, options)), (F.col(key) % len(options) + 1).cast("int"))
-
-
-def pick_sql(options: tuple[str, ...], key: str) -> str:
-    return "[" + ", ".join("'" + o + "'" for o in options) + f"][({key} % {len(options)} + 1)::INT]"
-
-
 def rule_url() -> Column:
     return F.concat(F.lit("https://"), pick(HOSTS, "page_id"), pick(FOLDERS, "page_id"))
 
@@ -55,16 +46,6 @@ def doc_id_sha1(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("page_id", U.url_id(F.col("url")).alias("id"))
 
 
-@query(rf"select page_id, lower(trim(replace(regexp_extract(url, '{SLUG}', 1), '_', ' '))) as title from apply_filters")
-def wiki_title(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).select("page_id", T.wiki_title(F.concat(F.lit("https://ha.wikipedia.org/wiki/"), F.regexp_extract("url", SLUG, 1))).alias("title"))
-
-
-@query("select page_id, case when url like 'http%' then regexp_replace(url, '#.*$', '') end as target from apply_filters")
-def link_resolve(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).select("page_id", T.link_target(F.col("url"), F.lit("https://base.example/a/")).alias("target"))
-
-
 @query(f"select doc_id, len({tokens_sql('text')}) as n_tokens, md5(array_to_string({tokens_sql('text')}, ' ')) as digest from documents")
 def word_tokens(spark: SparkSession, d: str) -> DataFrame:
     toks = T.tokens(T.nfc(F.coalesce("text", F.lit(""))))
@@ -109,16 +90,17 @@ def min_chars(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("page_id", (F.length(text) >= 200).alias("long_enough"), F.md5(F.substring(text, 1, 20000)).alias("digest"))
 
 
-@query("select doc_id, length(replace(replace(text, chr(10), '\\n'), '\\n', chr(10))) as n_chars, sha256(text) as checksum from documents")
-def unescape_newlines(spark: SparkSession, d: str) -> DataFrame:
-    escaped = F.regexp_replace("text", "\n", r"\\n")
-    back = F.replace(escaped, F.lit("\\n"), F.lit("\n"))
-    return table(spark, d, "documents").select("doc_id", F.length(back).cast("long").alias("n_chars"), F.sha2("text", 256).alias("checksum"))
+HELD_MOST = 12
 
 
-@query(f"select set_name, lang, {strip_sql('text')} as text from held_out where length({strip_sql('text')}) > 40 group by 1, 2, 3")
+@query(f"""with r as (select set_name, lang, item_id, {strip_sql("case when set_name = 'news' then 'Take' || chr(10) || text when set_name = 'exam' then text || chr(10) || 'A B' else text end")} as text from held_out),
+    k as (select distinct on (set_name, lang, case when set_name = 'flores' then text else item_id::VARCHAR end) *, from r where length(text) > 40 order by item_id),
+    o as (select set_name, lang, text, row_number() over (partition by set_name, lang order by case when set_name = 'wiki' then md5('0:' || item_id) else lpad(item_id::VARCHAR, 20, '0') end) as n from k)
+    select set_name, lang, text from o where set_name in ('flores', 'exam') or n <= {HELD_MOST}""")
 def heldout_prep(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "held_out").select("set_name", "lang", T.strip(F.col("text")).alias("text")).where("length(text) > 40").distinct()
+    """Held-out texts by set: different passages, headlines with texts, questions with choices; a seeded sample and a first-so-many are the sets' definitions."""
+    held = table(spark, d, "held_out").withColumn("headline", F.when(F.col("set_name") == "news", "Take")).withColumn("choices", F.when(F.col("set_name") == "exam", F.array(F.lit("A"), F.lit("B"))))
+    return reports.held_out_texts(held, most=HELD_MOST)
 
 
 @query("select page_id, strftime(fetched, '%Y-%m-%dT%H:%M:%SZ') as fetched_text, strftime(fetched, '%Y-%m-%d') as day from apply_filters")
@@ -155,26 +137,12 @@ def rule_mt_path(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("page_id", rules.mt_path(rule_url(), keep_hosts=("tool.com",)).alias("mt"))
 
 
-DROPPED_SQL = "[" + ", ".join(f"'{h}'" for h in DROPPED) + "]"
-PARENTS_SQL = "list_transform(range(1, len(string_split(h, '.')) + 1), lambda i: array_to_string(string_split(h, '.')[i:], '.'))"
-
-
-@query(f"with u as (select page_id, {site_sql('url')} as h from apply_filters) select page_id, list_has_any({DROPPED_SQL}, {PARENTS_SQL}) as blocked from u")
+@query(f"with u as (select page_id, {site_sql('url')} as h from apply_filters) select page_id, list_has_any({DROPPED_SQL}, {parents_sql('h')}) as blocked from u")
 def blocked_host(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("page_id", rules.blocked(U.site(F.col("url")), F.array(*map(F.lit, DROPPED))).alias("blocked"))
 
 
-@query(f"with u as (select page_id, {site_sql('url')} as h from apply_filters) select case when list_has_any({DROPPED_SQL}, {PARENTS_SQL}) then 'blocked' else 'ok' end as outcome, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from u group by 1")
-def outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """Fetch outcomes with their share; the share's window runs over a few outcomes."""
-    from pyspark.sql.window import Window
-
-    reason = F.coalesce(rules.url_reason(F.col("url"), U.site(F.col("url")), F.array(*map(F.lit, DROPPED))), F.lit("ok"))
-    counts = _pages(spark, d).groupBy(reason.alias("outcome")).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6))
-
-
-@query(rf"select page_id, coalesce(regexp_matches({site_sql(f'({RULE_URL})')}, '(?i)^(?:[\w-]+\.)*wikipedia\.org$|^(?:[\w-]+\.)*jw\.org$'), false) as never, regexp_matches({dedup_url_sql(f'({RULE_URL})')} || '/', '/(tag|category|author|page)/') as listing from apply_filters")
+@query(rf"select page_id, coalesce(regexp_matches({site_sql(f'({RULE_URL})')}, '(?i)^(?:[\w-]+\.)*wikipedia\.org$|^(?:[\w-]+\.)*jw\.org$|^(?:[\w-]+\.)*bible\w*\.\w+$|^(?:[\w-]+\.)*facebook\.\w+$'), false) as never, regexp_matches({dedup_url_sql(f'({RULE_URL})')} || '/', '/(tag|category|author|page)/') as listing from apply_filters")
 def never_seed(spark: SparkSession, d: str) -> DataFrame:
     url = rule_url()
     return _pages(spark, d).select("page_id", rules.never_seed(U.site(url)).alias("never"), rules.listing(F.concat(url, F.lit("/x"))).alias("listing"))
@@ -264,12 +232,6 @@ def rule_counts(spark: SparkSession, d: str) -> DataFrame:
     return reports.rule_counts(reasoned(spark, d))
 
 
-@query(f"with {REASON_SQL} select coalesce(reason, 'kept') as reason, count(*) as n, count(distinct {site_sql('url')}) as hosts from reasons group by 1")
-def rule_report(spark: SparkSession, d: str) -> DataFrame:
-    return reasoned(spark, d).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), F.count_distinct(U.site(F.col("url"))).alias("hosts"))
-
-
-
 # --- lines
 
 LINES_CTE = f"""p as (select distinct page_id, {site_sql('url')} as host, coalesce(wet_text, '') as x from apply_filters),
@@ -278,7 +240,9 @@ LINES_CTE = f"""p as (select distinct page_id, {site_sql('url')} as host, coales
 
 
 def _hosted(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).select("page_id", U.site(F.col("url")).alias("host"), F.coalesce("wet_text", F.lit("")).alias("x")).distinct()
+    """A row for each page, whose copies are alike."""
+    rows = _pages(spark, d).select("page_id", F.struct(U.site(F.col("url")).alias("host"), F.coalesce("wet_text", F.lit("")).alias("x")).alias("r"))
+    return rows.groupBy("page_id").agg(F.min("r").alias("r")).select("page_id", "r.host", "r.x")
 
 
 @query(f"with {LINES_CTE} select host, line, n_pages from f where n_pages >= 3")
@@ -319,18 +283,48 @@ def banner_strip(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("page_id", F.md5(B.without_banners(F.coalesce("wet_text", F.lit("")), BANNERS)).alias("digest"))
 
 
-@query(rf"""with e as (select doc_id, unnest(regexp_extract_all(lower(substr(coalesce(text, ''), 1, 3000)), '[\p{{L}}\p{{N}}_\x{{0300}}-\x{{036F}}]+')) as w from documents),
-    h as (select doc_id, lang, count(*) as n from e join (select distinct lang, lower(word) as w from stop_words) s using (w) group by 1, 2),
-    t as (select doc_id, arg_min(lang, (-n, lang)) as lang, max(n) as best, sum(n) as total from h group by 1)
-    select documents.doc_id, t.lang as label, round(coalesce(best / total, 0), 4) as prob from documents left join t using (doc_id)""")
+def lid_sql(source: str, key: str, text: str) -> str:
+    """CTEs up to ``lid`` (key, label, prob)."""
+    return rf"""le as (select {key}, unnest(regexp_extract_all(lower(substr(coalesce({text}, ''), 1, 3000)), '[\p{{L}}\p{{N}}_\x{{0300}}-\x{{036F}}]+')) as w from {source}),
+    lh as (select {key}, s.lang, count(*) as n from le join (select distinct lang, lower(word) as w from stop_words) s using (w) group by 1, 2),
+    lt as (select {key}, arg_min(lang, (-n, lang)) as lang, max(n) as best, sum(n) as total from lh group by 1),
+    lid as (select {source}.{key}, lt.lang as label, round(coalesce(best / total, 0), 4) as prob from {source} left join lt using ({key}))"""
+
+
+@query(f"with {lid_sql('documents', 'doc_id', 'text')} select * from lid")
 def lid(spark: SparkSession, d: str) -> DataFrame:
-    """A pluggable label's default: the language with the most common words among the first 3,000 characters, and its share of them.
-
-    The prefix is the operator's definition, as a language identifier's input is.
-    """
-    docs = table(spark, d, "documents")
-    words = docs.select("doc_id", F.explode(T.tokens(F.substring(F.coalesce("text", F.lit("")), 1, 3000))).alias("w"))
-    stops = table(spark, d, "stop_words").select("lang", F.lower("word").alias("w")).distinct()
-    hits = words.join(stops, "w").groupBy("doc_id", "lang").agg(F.count("*").alias("n"))
-    best = hits.groupBy("doc_id").agg(F.min_by("lang", F.struct(-F.col("n"), "lang")).alias("label"), F.max("n").alias("best"), F.sum("n").alias("total"))
-    return docs.select("doc_id").join(best, "doc_id", "left").select("doc_id", "label", F.round(F.coalesce(F.col("best") / F.col("total"), F.lit(0.0)), 4).alias("prob"))
+    """The default identifier over the documents; the prefix of its input is its definition."""
+    return L.by_common_words(table(spark, d, "documents"), table(spark, d, "stop_words"), "doc_id", "text")
+
+
+@query(f"""with p as (select page_id, min(lang) as lang, min(wet_text) as wet_text from apply_filters group by 1), {lid_sql('p', 'page_id', 'wet_text')}
+    select coalesce(lang, '') as theirs, coalesce(label, '') as ours, count(*) as n from lid join p using (page_id) where substr(coalesce(lang, ''), 1, 3) <> substr(coalesce(label, ''), 1, 3) group by 1, 2""")
+def lid_confusion(spark: SparkSession, d: str) -> DataFrame:
+    """The pages' labels against ours, where they differ."""
+    pages = _pages(spark, d).groupBy("page_id").agg(F.min("lang").alias("lang"), F.min("wet_text").alias("wet_text"))
+    ours = L.by_common_words(pages, table(spark, d, "stop_words"), "page_id", "wet_text")
+    return L.confusion(pages.select("page_id", "lang").join(ours, "page_id"), "lang", "label")
+
+
+@query(f"select page_id, length(x) as n_chars, b <> x and length(b) < 200 as banner_only from (select page_id, coalesce(wet_text, '') as x, array_to_string(list_filter(string_split(coalesce(wet_text, ''), chr(10)), lambda x: not ({BANNER_SQL})), chr(10)) as b from apply_filters)")
+def banner_only(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that are next to nothing without their banners."""
+    text = F.coalesce("wet_text", F.lit(""))
+    return _pages(spark, d).select("page_id", F.length(text).cast("long").alias("n_chars"), B.short_banners(text, BANNERS).alias("banner_only"))
+
+
+LABELLED = """apply_filters as (select doc_id as page_id, min(url) as url, min(lang) as lang, min(text) as wet_text from build_label_dataset where doc_id is not null group by 1),
+    kept as (select doc_id as page_id, (avg((label = 1)::INT) >= 0.5)::INT as keep from build_label_dataset where doc_id is not null and label is not null group by 1)"""
+
+
+@query(f"""with {LABELLED}, {REASON_SQL},
+    r as (select unnest([coalesce(r.lang, ''), 'all']) as lang, coalesce(reason, 'survivors') as reason, {site_sql('r.url')} as host, keep from reasons r join kept using (page_id)),
+    g as (select lang, reason, count(*) as n, count(distinct host) as hosts, avg(keep) as rate from r group by 1, 2), b as (select lang, count(*) as n, avg(keep) as rate from r group by 1)
+    select lang, reason, g.n, round(g.n / b.n, 6) as share, hosts, round(g.rate, 6) as keep_rate, g.rate > b.rate as above_base from g join b using (lang)""")
+def rule_report(spark: SparkSession, d: str) -> DataFrame:
+    """What each rule removes of the labelled documents, by language and over all: number, share, hosts, and how many of them people kept."""
+    rows = table(spark, d, "build_label_dataset").where("doc_id is not null")
+    docs = rows.groupBy(F.col("doc_id").alias("page_id")).agg(F.min("url").alias("url"), F.min("lang").alias("lang"), F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    keep = rows.where("label is not null").groupBy(F.col("doc_id").alias("page_id")).agg((F.avg((F.col("label") == 1).cast("int")) >= 0.5).cast("int").alias("keep"))
+    reasons = rules.with_reason(docs, _stops(spark, d)).select("page_id", "lang", "url", "reason")
+    return reports.rule_report(reasons.join(keep, "page_id").withColumn("host", U.site(F.col("url"))))

@@ -7,6 +7,8 @@ import io
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import islice
+from typing import BinaryIO
 
 import pandas as pd
 import pyarrow as pa
@@ -34,23 +36,25 @@ def tsv(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
     return spark.read.schema(schema).option("sep", "\t").option("quote", "").csv(paths)
 
 
-def decompressed(name: str, data: bytes) -> bytes:
-    """A file's bytes by its name's ending: all frames of ``.zst``, all members of ``.gz``."""
+def opened(name: str, stream: BinaryIO) -> BinaryIO:
+    """A file's decompressed bytes as a stream, by its name's ending: all frames of ``.zst``, all members of ``.gz``."""
     if name.endswith(".zst"):
         import zstandard
 
-        return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read()
-    return gzip.decompress(data) if name.endswith(".gz") else data
+        return zstandard.ZstdDecompressor().stream_reader(stream, read_across_frames=True)
+    return gzip.GzipFile(fileobj=stream) if name.endswith(".gz") else stream
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-            shard = path.rsplit("/", 1)[-1]
-            records = [x for x in decompressed(shard, data).decode("utf-8", "replace").split("\n") if x]
-            for at in range(0, len(records), 10_000):
-                part = records[at : at + 10_000]
+        for path, data in zip(b.column("path"), b.column("content")):
+            shard = path.as_py().rsplit("/", 1)[-1]
+            lines = io.TextIOWrapper(io.BufferedReader(opened(shard, io.BytesIO(data.as_buffer()))), "utf-8", "replace", newline="\n")
+            records = (x.removesuffix("\n") for x in lines if x != "\n")
+            at = 0
+            while part := list(islice(records, 10_000)):  # a shard is never held decoded
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * len(part)), pa.array(range(at, at + len(part)), pa.int32()), pa.array(part)], ["shard", "line_no", "record"])
+                at += len(part)
 
 
 def shard_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -60,31 +64,62 @@ def shard_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.select(F.concat_ws(":", "shard", F.col("line_no").cast("string")).alias("id"), "shard", "line_no", "record")
 
 
-def listed(spark: SparkSession, list_path: str, root: str) -> list[str]:
-    """The files that a list names, one a line, under a folder; a missing one fails the read."""
-    return [f"{root}/{r[0].strip()}" for r in spark.read.text(list_path).collect() if r[0].strip()]
+def plain_json_lines(spark: SparkSession, paths: str | list[str], prefix: str, text: str = "content") -> DataFrame:
+    """(id, url, text) of JSON lines without ids: ``<prefix>:<file name without ending>:<line>``."""
+    rows = shard_lines(spark, paths).withColumn("r", F.from_json("record", f"url string, {text} string"))
+    name = F.regexp_extract("shard", r"^([^.]*)", 1)
+    return rows.select(F.concat_ws(":", F.lit(prefix), name, F.col("line_no").cast("string")).alias("id"), "r.url", F.col(f"r.{text}").alias("text"))
+
+
+def listed(spark: SparkSession, list_path: str, root: str, worker: int = 0, workers: int = 1) -> list[str]:
+    """The files that a list names, one a line, under a folder: every ``workers``-th from ``worker``. A missing one fails the read."""
+    names = [r[0].strip() for r in spark.read.text(list_path, wholetext=True).select(F.explode(F.split("value", "\n"))).collect()]  # names only, in order
+    return [f"{root}/{n}" for n in [n for n in names if n][worker::workers]]
+
+
+def frozen_list(spark: SparkSession, pattern: str, list_path: str, least_bytes: int = 101) -> str:
+    """Write the names of the files that match and have ``least_bytes`` or more, sorted, unless the list exists; later files don't change it."""
+    files = spark.read.format("binaryFile").load(pattern).where(F.col("length") >= least_bytes).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(list_path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        files.orderBy("name").coalesce(1).write.mode("errorifexists").text(list_path)
+    return list_path
+
+
+def robots_state(log: Column) -> Column:
+    """How a host's robots file was treated, by the lines of the crawler's log for it."""
+    named = lambda pattern: log.rlike(rf"(?m)^\s*robots_{pattern}")
+    lines = F.exists(F.regexp_extract_all(log, F.lit(r"(\d+) sitemap lines in robots\.txt"), F.lit(1)), lambda n: n.cast("int") > 0)
+    known = F.when(named(r"ok(\s|$)") | lines, "fetched").when(named(r"\S*_allow_all_per_rfc9309(\s|$)"), "absent_4xx").when(named(r"\S*_assumed_open(\s|$)"), "unreachable_assumed_open")
+    return F.coalesce(known, F.lit("not recorded"))
 
 
 # --- WET archives
 
-def wet_records(data: bytes) -> Iterator[tuple[str, str]]:
-    """(url, text) of the conversion records of a WET file's bytes; bad bytes are replaced."""
-    at = 0
-    while True:
-        head = data.find(b"WARC/1.", at)
-        if head < 0:
-            return
-        end = data.find(b"\r\n\r\n", head)
-        if end < 0:
-            return
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[head:end].decode("utf-8", "replace").split("\r\n")[1:])}
-        size = int(headers.get("content-length", "0") or 0)
-        body = data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+def wet_records(stream: BinaryIO) -> Iterator[tuple[str, str]]:
+    """(url, text) of the conversion records of a WET stream, one at a time; bad bytes are replaced."""
+    while line := stream.readline():
+        if not line.startswith(b"WARC/1."):
+            continue
+        headers = {}
+        while (line := stream.readline().rstrip(b"\r\n")):
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            headers[name.strip().lower()] = value.strip()
+        body = stream.read(int(headers.get("content-length", "0") or 0))
         if headers.get("warc-type") == "conversion" and headers.get("warc-target-uri"):
             yield headers["warc-target-uri"], body.decode("utf-8", "replace")
 
 
+def _open(path: str) -> BinaryIO:
+    """A file for reading, by path or by the uri of any file system that Arrow knows."""
+    if "://" not in path:
+        return open(path, "rb")
+    from pyarrow.fs import FileSystem
+
+    system, inner = FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
 class _WetReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
@@ -95,11 +130,10 @@ class _WetReader(DataSourceReader):
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition: InputPartition) -> Iterator[tuple[str, str, str]]:
-        with open(partition.value, "rb") as f:
-            data = decompressed(partition.value, f.read())
-        for url, text in wet_records(data):
-            if len(text) >= self.least:
-                yield url, text[: self.most], partition.value
+        with _open(partition.value) as f:
+            for url, text in wet_records(io.BufferedReader(opened(partition.value, f))):
+                if len(text) >= self.least:
+                    yield url, text[: self.most], partition.value
 
 
 class WetSource(DataSource):
@@ -118,7 +152,9 @@ class WetSource(DataSource):
 
 # --- HTML
 
+# fixed values: sitemap entries, feed links and anchors
 LOC = r"(?is)<loc>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</loc>"
+FEED = r"(?i)type=[\"']application/(?:rss|atom)\+xml[\"']"
 HREF = r"(?i)<a\b[^>]*\bhref=[\"']([^\"']+)[\"']"
 
 
@@ -126,6 +162,12 @@ def sitemap_urls(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(LOC), F.lit(1))
 
 
+def feed_links(html: Column) -> Column:
+    """Targets of the link tags that name a feed, whatever the order of their attributes."""
+    tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<link[^>]+>"), F.lit(0)), lambda t: t.rlike(FEED))
+    return F.filter(F.transform(tags, lambda t: F.regexp_extract(t, "(?i)href=[\"']([^\"']+)[\"']", 1)), lambda x: x != "")
+
+
 def anchors(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(HREF), F.lit(1))
 
@@ -170,18 +212,16 @@ def html_text(html: pd.Series) -> pd.Series:
 
 
 @pandas_udf(StringType())
-def decoded_html(content: pd.Series) -> pd.Series:
-    """Bytes of a page as text: by its declared charset if they decode, else UTF-8 with bad bytes replaced."""
+def decoded_html(content: pd.Series, content_type: pd.Series) -> pd.Series:
+    """Bytes of a page as text: by the charset of its content type; without one as UTF-8 if they are valid, else as ISO-8859-1."""
 
-    def one(data: bytes | None) -> str | None:
+    def one(data: bytes | None, kind: str | None) -> str | None:
         if data is None:
             return None
-        named = re.search(rb"charset=[\"']?([\w-]+)", data[:2048])
-        for name in ("utf-8", named.group(1).decode() if named else "utf-8"):
-            try:
-                return bytes(data).decode(name)
-            except (UnicodeDecodeError, LookupError):
-                continue
-        return bytes(data).decode("utf-8", "replace")
-
-    return content.map(one)
+        named = re.search(r"charset=[\"']?([\w-]+)", kind or "", re.I)
+        try:
+            return bytes(data).decode(named.group(1) if named else "utf-8", "replace" if named else "strict")
+        except (UnicodeDecodeError, LookupError):
+            return bytes(data).decode("iso-8859-1")
+
+    return pd.Series([one(d, k) for d, k in zip(content, content_type)])
