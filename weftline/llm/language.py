@@ -7,7 +7,8 @@ penalised likelihood grows. Each sentence then belongs to the language with the
 sentences of one language are a passage, and a language counts if at least one whole sentence is in it.
 
 Scale: one pass over the texts without a shuffle; the model is a fixed table of 2^17 rows sent to the workers. The
-samples are bounded (``most_samples`` rows). All records and whole texts are judged.
+samples are bounded (``most_samples`` rows, the labelled sample that the model is fitted on); all common words count, and
+more than ``most_words`` are an error. All records and whole texts are judged.
 Nulls: a null text, or one with fewer than ``least_words`` known words, has no language. Rows are judged one by
 one, so duplicates and ties change nothing (equal likelihoods go to the first language by code). An empty table
 gives an empty result.
@@ -56,17 +57,16 @@ class Model:
     scores: np.ndarray
 
 
-def _grams(flat: Flat, words: Words) -> tuple[list[np.ndarray], np.ndarray]:
-    """(table rows of the n-grams of each order by place, the word each place belongs to). A place is a letter or a word's bound."""
-    letters = tables()[1][flat.cp[words.kept]]
-    lengths = words.length + 1
+def _grams(flat: Flat, words: Words, some: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """(table rows of the n-grams of each order by place, each word's first place), of all words or of ``some``. A place is a letter or a word's bound."""
+    first, length = (words.first, words.length) if some is None else (words.first[some], words.length[some])
+    lengths = length + max(ORDERS)  # a word's letters between bounds, so that no n-gram reaches into the next word
     starts = np.r_[0, np.cumsum(lengths)]
-    stream = np.empty(starts[-1] + max(ORDERS), np.uint32)
-    stream[:] = BOUND
-    inner = np.ones(starts[-1], bool)
-    inner[starts[:-1]] = False
-    stream[: starts[-1]][inner] = letters
-    owner = np.repeat(np.arange(words.n), lengths)
+    ends = np.cumsum(length)
+    at = np.arange(int(length.sum())) - np.repeat(ends - length, length)
+    stream = np.full(starts[-1] + max(ORDERS), BOUND, np.uint32)
+    stream[np.repeat(starts[:-1], length) + 1 + at] = tables()[1][flat.cp[words.kept[np.repeat(first, length) + at]]]
+    places = np.repeat(starts[:-1], length + 1) + np.arange(int(length.sum()) + len(length)) - np.repeat(ends - length + np.arange(len(length)), length + 1)
     out = []
     values = tables()[2]
     symbols = values[stream]
@@ -77,12 +77,19 @@ def _grams(flat: Flat, words: Words) -> tuple[list[np.ndarray], np.ndarray]:
             for i in range(order):
                 h = (h ^ symbols[i : i + n]) * np.uint64(0xBF58476D1CE4E5B9)
                 h ^= h >> np.uint64(29)
-            out.append((h >> np.uint64(64 - BITS)).astype(np.int32))
-    return out, owner
+            out.append((h[places] >> np.uint64(64 - BITS)).astype(np.int32))
+    return out, np.cumsum(length + 1) - (length + 1)
 
 
-def _word_rows(words: Words) -> np.ndarray:
-    return (splitmix(words.hash + np.uint64(WHOLE)) >> np.uint64(64 - BITS)).astype(np.int32)
+def _word_rows(hashes: np.ndarray) -> np.ndarray:
+    return (splitmix(hashes + np.uint64(WHOLE)) >> np.uint64(64 - BITS)).astype(np.int32)
+
+
+def word_scores(flat: Flat, words: Words, model: Model) -> np.ndarray:
+    """Each word's log likelihood by language; every different word of the batch is scored once."""
+    different, one, which = np.unique(words.hash, return_index=True, return_inverse=True)
+    rows, first = _grams(flat, words, one)
+    return (sum(np.add.reduceat(model.scores[r], first, axis=0) for r in rows) + 2 * model.scores[_word_rows(different)])[which]
 
 
 def train(samples: list[tuple[str, str]], common: list[tuple[str, str]], smoothing: float = 0.3) -> Model:
@@ -96,7 +103,7 @@ def train(samples: list[tuple[str, str]], common: list[tuple[str, str]], smoothi
             rows, _ = _grams(flat, words)
             for r in rows:
                 counts[:, k] += weight * np.bincount(r, minlength=1 << BITS)
-            counts[:, k] += 2 * weight * np.bincount(_word_rows(words), minlength=1 << BITS)
+            counts[:, k] += 2 * weight * np.bincount(_word_rows(words.hash), minlength=1 << BITS)
     used = counts.sum(1) > 0
     p = np.log((counts + smoothing) / (counts.sum(0) + smoothing * used.sum()))
     p -= p.mean(1, keepdims=True)
@@ -203,9 +210,7 @@ def languages_of(texts: list[str | None], model: Model, s: Settings) -> tuple[li
     passages: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
     if not words.n:
         return found, passages
-    rows, owner = _grams(flat, words)
-    edges = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    per_word = sum(np.add.reduceat(model.scores[r], edges, axis=0) for r in rows) + 2 * model.scores[_word_rows(words)]
+    per_word = word_scores(flat, words, model)
     start = _sentence_starts(flat, words, s.most_words)
     scores = np.add.reduceat(per_word, start, axis=0).astype(np.float64) * s.damping
     size = np.diff(np.r_[start, words.n])
@@ -262,12 +267,15 @@ def _identify(batches: Iterator[pa.RecordBatch], model: Model, s: Settings) -> I
             )
 
 
-def identified(texts: DataFrame, samples: DataFrame, common: DataFrame, settings: Settings | None = None, most_samples: int = 20_000, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def identified(texts: DataFrame, samples: DataFrame, common: DataFrame, settings: Settings | None = None, most_samples: int = 20_000, most_words: int = 1_000_000, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Each row's languages with their shares, its passages with language and confidence, and its confidence; see IDENTIFIED."""
     order = [F.md5(F.concat_ws("|", "lang", "text"))]
     rows = samples.select("lang", "text").where("lang is not null and text is not null").orderBy(*order).limit(most_samples).collect()
-    words = common.select("lang", "word").where("lang is not null and word is not null").orderBy("lang", "word").limit(most_samples).collect()
-    sent = texts.sparkSession.sparkContext.broadcast((train([tuple(r) for r in rows], [tuple(r) for r in words]), settings or Settings()))
+    words = common.select("lang", "word").where("lang is not null and word is not null").distinct().limit(most_words + 1).collect()
+    if len(words) > most_words:
+        raise ValueError(f"more than {most_words} common words")
+    words = sorted(tuple(r) for r in words)
+    sent = texts.sparkSession.sparkContext.broadcast((train([tuple(r) for r in rows], words), settings or Settings()))
     slim = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(lambda it: _identify(it, *sent.value), IDENTIFIED.format(id=slim.schema[0].dataType.simpleString()))
 
