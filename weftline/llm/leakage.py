@@ -7,8 +7,8 @@ the two word sequences are compared along their diagonal: the longest run of equ
 without two substituted words in a row.
 
 Scale: the index of the held-out windows is sent to the workers if it has at most ``most_indexed`` hashes, and
-the corpus is then read once without a shuffle. A larger index is joined by hash, after hits are reduced to
-distinct (document, item, diagonal); both ways give the same rows. A passage in a third of all documents is no
+the corpus is then read once without a shuffle. For a larger one 2^SHARED_BITS bits of its hashes are sent, and the
+documents' windows that pass them are joined by hash and reduced to distinct (document, item, diagonal); both ways give the same rows. A passage in a third of all documents is no
 hot key in the first way, and one index row joined to many in the second, which AQE splits.
 Nulls: null or wordless texts and items have no windows. Repeated rows come out once. Empty tables give an empty
 result; other columns are ignored.
@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.vec import Flat, Words, arrow_schema, chunks, list_array, splitmix
+from weftline.session import cut
 
 SPAN = 13
 FOUND = "doc_id {id}, item_id {item}, exact_run int, overlap int, item_words int"
 BLOOM_BITS = 22
+SHARED_BITS = 26
 
 
 def mask(span: int, seed: int) -> np.ndarray:
@@ -118,44 +120,84 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index, id_type: pa.DataType,
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (id_type, item_type, pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "exact_run", "overlap", "item_words"])
 
 
-def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, words, span, places, hashes) of each item: its windows under all masks."""
     for b in batches:
         texts = b.column("text").to_pylist()
         for start, stop in chunks(texts):
             w = Words(Flat(texts[start:stop]))
-            yield pa.RecordBatch.from_arrays([b.column("id").slice(start, stop - start), list_array(pa.array(w.hash.view(np.int64)), np.diff(w.offsets))], ["id", "words"])
+            lists = [w.hash[a:z] for a, z in zip(w.offsets[:-1], w.offsets[1:])]
+            span = [min(SPAN, len(x)) for x in lists]
+            own = [np.concatenate([seeds(x, n, s) for s in range(3)]) if n else np.zeros(0, np.uint64) for x, n in zip(lists, span)]
+            place = [np.tile(np.arange(len(x) // 3, dtype=np.int32), 3) for x in own]
+            counts = np.array([len(x) for x in own], np.int64)
+            both = [list_array(pa.array(np.concatenate(x)), counts) for x in (place, [x.view(np.int64) for x in own])]
+            yield pa.RecordBatch.from_arrays([b.column("item_id").slice(start, stop - start), list_array(pa.array(w.hash.view(np.int64)), np.diff(w.offsets)), pa.array(span, pa.int32()), *both], ["item_id", "words", "span", "places", "hashes"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch], spans: list[int] | None) -> Iterator[pa.RecordBatch]:
-    """(id, place, hash) of all windows; ``spans`` None: each list's own, of 13 words or the whole list."""
+def _document_seeds(batches: Iterator[pa.RecordBatch], spans: list[int], bloom: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(doc_id, words, places, hashes) of documents that have windows whose bit of the items' hashes is set: those windows."""
     for b in batches:
-        for k, words in enumerate(b.column("words").to_pylist()):
-            w = np.array(words, np.int64).view(np.uint64)
-            for span in [min(SPAN, len(w))] if spans is None else spans:
-                for s in range(3) if span else ():
-                    h = seeds(w, span, s).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([b.column("id")[k].as_py()] * len(h), b.schema.field("id").type), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h)], ["id", "place", "hash"])
+        texts = b.column("text").to_pylist()
+        for start, stop in chunks(texts):
+            w = Words(Flat(texts[start:stop]))
+            doc, places, hashes = w.doc(), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for span in spans:
+                if w.n < span:
+                    continue
+                whole = doc[: w.n - span + 1] == doc[span - 1 :]
+                for s in range(3):
+                    h = seeds(w.hash, span, s)
+                    bit = (h >> np.uint64(64 - SHARED_BITS)).astype(np.int64)
+                    at = np.flatnonzero(whole & ((bloom[bit >> 3] >> (bit & 7)) & 1).astype(bool))
+                    places.append(at)
+                    hashes.append(h[at])
+            place, h = np.concatenate(places), np.concatenate(hashes)
+            order = np.argsort(place, kind="stable")
+            place, h = place[order], h[order]
+            counts = np.bincount(doc[place], minlength=stop - start) if len(place) else np.zeros(stop - start, np.int64)
+            some = np.flatnonzero(counts)
+            if not len(some):
+                continue
+            sizes = np.diff(w.offsets)
+            kept = np.isin(doc, some)
+            inner = (place - w.offsets[doc[place]]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").slice(start, stop - start).take(pa.array(some)), list_array(pa.array(w.hash[kept].view(np.int64)), sizes[some]), list_array(pa.array(inner), counts[some]), list_array(pa.array(h.view(np.int64)), counts[some])],
+                ["doc_id", "words", "places", "hashes"],
+            )
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         doc, item, shift = (b.column(n) for n in ("doc_words", "item_words", "shift"))
-        pairs = [compare(np.array(d.as_py(), np.int64), np.array(i.as_py(), np.int64), s.as_py()) for d, i, s in zip(doc, item, shift)]
+        pairs = [compare(d.values.to_numpy(), i.values.to_numpy(), s.as_py()) for d, i, s in zip(doc, item, shift)]
         runs, overlaps = zip(*pairs) if pairs else ((), ())
-        lengths = pa.array([len(i) for i in item], pa.int32())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("item_id"), pa.array(runs, pa.int32()), pa.array(overlaps, pa.int32()), lengths], ["doc_id", "item_id", "exact_run", "overlap", "item_words"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("item_id"), pa.array(runs, pa.int32()), pa.array(overlaps, pa.int32()), item.value_lengths()], ["doc_id", "item_id", "exact_run", "overlap", "item_words"])
+
+
+def _bloom(hashes: DataFrame) -> np.ndarray:
+    """2^SHARED_BITS bits, those of the column ``hash`` set: or-ed in the engine, 8 MB whatever their number."""
+    place = F.shiftrightunsigned("hash", 64 - SHARED_BITS) + 1
+    rows = hashes.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = np.zeros((1 << SHARED_BITS) // 8, np.uint8)
+    for r in rows:
+        at = (r["bucket"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
 def _joined(docs: DataFrame, held: DataFrame, id_type: str, item_type: str) -> DataFrame:
-    """The way for an index of any size: both sides' windows are shuffled by hash."""
-    doc_words = docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(_word_lists, f"id {id_type}, words array<long>")
-    item_words = held.select(F.col("item_id").alias("id"), "text").mapInArrow(_word_lists, f"id {item_type}, words array<long>")
-    spans = [r[0] for r in item_words.select(F.least(F.size("words"), F.lit(SPAN)).alias("s")).where("s > 0").distinct().collect()]  # at most 13 rows
-    ours = doc_words.mapInArrow(lambda it: _windows(it, spans), f"id {id_type}, place int, hash long")
-    theirs = item_words.mapInArrow(lambda it: _windows(it, None), f"id {item_type}, place int, hash long").select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "hash")
-    hits = ours.join(theirs, "hash").select(F.col("id").alias("doc_id"), "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
-    full = hits.join(doc_words.select(F.col("id").alias("doc_id"), F.col("words").alias("doc_words")), "doc_id").join(item_words.select(F.col("id").alias("item_id"), F.col("words").alias("item_words")), "item_id")
-    return full.mapInArrow(_check, FOUND.format(id=id_type, item=item_type))
+    """The way for an index of any size: the documents' windows that pass the items' bits are shuffled by hash."""
+    items = cut(held.mapInArrow(_item_seeds, f"item_id {item_type}, words array<long>, span int, places array<int>, hashes array<long>"), "items")
+    spans = sorted(r[0] for r in items.select("span").where("span > 0").distinct().collect())  # at most 13 rows
+    theirs = items.select("item_id", F.explode(F.arrays_zip("places", "hashes")).alias("x")).select("item_id", F.col("x.places").alias("item_place"), F.col("x.hashes").alias("hash"))
+    sent = docs.sparkSession.sparkContext.broadcast(_bloom(theirs))
+    ours = cut(docs.mapInArrow(lambda it: _document_seeds(it, spans, sent.value), f"doc_id {id_type}, words array<long>, places array<int>, hashes array<long>").withColumn("row", F.monotonically_increasing_id()), "seeds")
+    windows = ours.select("row", F.explode(F.arrays_zip("places", "hashes")).alias("x")).select("row", F.col("x.places").alias("place"), F.col("x.hashes").alias("hash"))
+    hits = windows.join(theirs, "hash").select("row", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
+    full = hits.join(ours.select("row", "doc_id", F.col("words").alias("doc_words")), "row").join(items.select("item_id", F.col("words").alias("item_words")), "item_id")
+    return full.select("doc_id", "item_id", "shift", "doc_words", "item_words").mapInArrow(_check, FOUND.format(id=id_type, item=item_type))
 
 
 def leaked_passages(documents: DataFrame, held_out: DataFrame, most_indexed: int = 5_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
