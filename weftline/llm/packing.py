@@ -13,12 +13,13 @@ come. An empty table gives no containers; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +31,12 @@ PACKED = "seq_id long, doc_ids array<{id}>, starts array<int>, lengths array<int
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
+    """The vocabulary of a file; on a worker its shipped copy."""
     import base64
 
     import tiktoken
 
-    with open(path, "rb") as f:
+    with open(SparkFiles.get(os.path.basename(path)) if TaskContext.get() else path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -126,6 +128,7 @@ def _pack(batches: Iterator[pa.RecordBatch], capacity: int, most_open: int, path
 
 def packed_sequences(documents: DataFrame, capacity: int = 1024, most_open: int = 256, tokenizer_path: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Training sequences of at most ``capacity`` tokens; see PACKED. ``starts``: where in its document each piece begins."""
+    documents.sparkSession.sparkContext.addFile(tokenizer_path)
     slim = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(lambda it: _pack(it, capacity, most_open, tokenizer_path), PACKED.format(id=slim.schema[0].dataType.simpleString()))
 
