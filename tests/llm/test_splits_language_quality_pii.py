@@ -147,13 +147,13 @@ def test_spans_map_back_over_marks():
 def test_surrogates_are_consistent_distinct_and_typed(spark):
     text = "Amina Gwebusha, 0829.450.1379, NIN: 0083-715-9133\nMrs Gwebusha da Musa Ṣokodẹ: amina@a.example ko 0829.450.1379, 84 Titin Sasa"
     df = spark.createDataFrame([(1, text, 5), (2, None, 5), (3, "babu komai", 5), (1, text, 5)], "doc_id long, text string, entities int")
-    rows = [r for r in pii.rewritten(df, DETECTOR).collect()]
+    rows = [r for r in pii.rewritten(df, DETECTOR, "surrogate", b"k").collect()]
     out = next(r["text"] for r in rows if r["doc_id"] == 1)
     assert rows[0]["text"] == rows[3]["text"] and rows[1]["text"] is None and rows[2]["text"] == "babu komai"
     m = re.match(r"(\w+) (\w+), (08\d\d\.\d{3}\.\d{4}), NIN: (\d{4}-\d{3}-\d{4})\nMrs (\w+) da (\w+) (\w+): \w+@mail\.invalid ko (\S+), \d\d Titin \w+$", out)
     assert m and m[2] == m[5] and m[3] == m[8] and m[2] != m[7] and m[1].lower() in pii.GIVEN["f"].split() and m[6].lower() in pii.GIVEN["m"].split()
     assert not {"Amina", "Gwebusha", "Musa"} & set(re.findall(r"\w+", out))
-    plain = next(r["text"] for r in pii.rewritten(df, DETECTOR, "placeholder").collect() if r["doc_id"] == 1)
+    plain = next(r["text"] for r in pii.rewritten(df, DETECTOR, "placeholder", b"k").collect() if r["doc_id"] == 1)
     assert plain.startswith("[NAME_1], [PHONE_1], [ID_NUMBER_1]\n[NAME_2] da [NAME_3]: [EMAIL_1] ko [PHONE_1], [ADDRESS_1]")
     found = {(r["line_no"], r["kind"]) for r in pii.located(df, DETECTOR).where("doc_id = 1").collect()}
     assert found == {(0, "name"), (0, "phone"), (0, "id_number"), (1, "name"), (1, "email"), (1, "phone"), (1, "address")}

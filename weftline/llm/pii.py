@@ -227,22 +227,17 @@ class Detector:
 
         line_at = np.r_[0, np.flatnonzero(plain == 10) + 1, len(plain) + 1]
 
-        def windows(marks: np.ndarray, before: int, after: int) -> list[tuple[int, int]]:
-            """Stretches around ascending places, within their lines and joined where they meet."""
-            if not len(marks):
-                return []
-            line = np.searchsorted(line_at, marks, "right") - 1
-            low, high = np.maximum(marks - before, line_at[line]), np.minimum(marks + after, line_at[line + 1] - 1)
-            new = np.r_[True, low[1:] > np.maximum.accumulate(high)[:-1]]
-            first = np.flatnonzero(new)
-            return list(zip(low[first].tolist(), np.maximum.reduceat(high, first).tolist()))
+        def lines_of(marks: np.ndarray) -> list[tuple[int, int]]:
+            """The lines in which the places lie."""
+            line = np.unique(np.searchsorted(line_at, marks, "right") - 1)
+            return list(zip(line_at[line].tolist(), (line_at[line + 1] - 1).tolist()))
 
         def matches(pattern: re.Pattern, text: str, where: list[tuple[int, int]]) -> Iterator[re.Match]:
             for a, b in where:
                 yield from pattern.finditer(text, a, b)
 
         spans = []
-        for m in matches(EMAIL, s, windows(np.array([m.start() for m in AT_SIGN.finditer(s)], np.int64), 120, 160)):
+        for m in matches(EMAIL, s, lines_of(np.array([m.start() for m in AT_SIGN.finditer(s)], np.int64))):
             a, b = m.span()
             if s[a : a + 7].lower() == "mailto:":
                 a += 7
@@ -252,7 +247,7 @@ class Detector:
         group = np.flatnonzero(np.r_[True, np.diff(digit) > 4]) if len(digit) else digit
         sizes = np.diff(np.r_[group, len(digit)])
         long = np.repeat(sizes, sizes) >= 6
-        near = windows(digit[long], 60, 24)  # where a label and a long number can stand
+        near = lines_of(digit[long])  # where a label and a long number can stand
         spans = [m.span() for m in matches(LABELLED_ID, rest, near) if sum(map(str.isdigit, m.group(1))) >= 6]
         rest = take(rest, spans, "id_number")
         spans = []
@@ -270,16 +265,15 @@ class Detector:
                 ids.append(m.span())
         rest = take(rest, phones, "phone")
         rest = take(rest, ids, "id_number")
-        low = rest.lower()
-        digits_before = np.r_[0, np.cumsum((plain >= 48) & (plain <= 57), dtype=np.int32)]
-        places = []
+        low, places = rest.lower(), []
         for word in STREET_WORDS:
             at = low.find(word)
             while at >= 0:
-                if digits_before[at] > digits_before[max(0, at - 70)]:
-                    places.append(at)
+                places.append(at)
                 at = low.find(word, at + 1)
-        rest = take(rest, [m.span() for m in matches(ADDRESS, rest, windows(np.array(sorted(places), np.int64), 90, 80))], "address")
+        streets = np.array(sorted(places), np.int64)
+        numbered = np.isin(np.searchsorted(line_at, streets, "right"), np.searchsorted(line_at, digit, "right"))  # a house number is in the line
+        rest = take(rest, [m.span() for m in matches(ADDRESS, rest, lines_of(streets[numbered]))], "address")
         spans = []
         for m in RUN.finditer(rest):
             labelled = bool(ONE_LABEL.search(rest, max(0, m.start() - 14), m.start()))
@@ -458,11 +452,13 @@ def _rewritten(batches: Iterator[pa.RecordBatch], detector: Detector, mode: str,
 
 
 def detector_for(name_list: DataFrame, common_words: DataFrame | None, most_names: int = 2_000_000) -> Detector:
-    """A detector from a list (name, name_part) of at most ``most_names`` rows, and words (word) that are no names."""
+    """A detector from a list (name, name_part) and words (word) that are no names; more than ``most_names`` of either are an error."""
     rows = name_list.select("name", "name_part").where("name is not null").distinct().limit(most_names + 1).collect()
     if len(rows) > most_names:
         raise ValueError(f"more than {most_names} names")
-    words = common_words.select("word").where("word is not null").distinct().limit(most_names).collect() if common_words is not None else []
+    words = common_words.select("word").where("word is not null").distinct().limit(most_names + 1).collect() if common_words is not None else []
+    if len(words) > most_names:
+        raise ValueError(f"more than {most_names} common words")
     return Detector(name_sets([tuple(r) for r in rows]), frozenset(fold_name(r[0]) for r in words))
 
 
@@ -478,7 +474,7 @@ def located(documents: DataFrame, detector: Detector, id_col: str = "doc_id", te
     return lists.select("doc_id", F.explode(F.arrays_zip("starts", "ends", "lines", "kinds")).alias("e")).select("doc_id", F.col("e.starts").alias("start"), F.col("e.ends").alias("end"), F.col("e.lines").alias("line_no"), F.col("e.kinds").alias("kind"))
 
 
-def rewritten(documents: DataFrame, detector: Detector, mode: str = "surrogate", key: bytes = b"weftline", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def rewritten(documents: DataFrame, detector: Detector, mode: str, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, entities): each row's text with its entities replaced; see ``replaced`` for the modes."""
     sent = documents.sparkSession.sparkContext.broadcast(detector)
     slim = _slim(documents, id_col, text_col)

@@ -11,6 +11,7 @@ from weftline.llm import boilerplate, consensus, language, leakage, packing, pii
 from weftline.llm.oracles import ORACLES
 from weftline.session import table
 
+KEY = b"test tables only"  # the queries' key; a caller brings their own
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -38,6 +39,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.linked_hosts(splits.assign_splits(table(spark, d, "build_label_dataset")))
 
 
+def p2_members(spark: SparkSession, d: str) -> DataFrame:
+    return splits.host_groups(splits.assign_splits(table(spark, d, "build_label_dataset")))
+
+
 def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     components = splits.assign_splits(table(spark, d, "build_label_dataset"))
     return components.where("node not like 'of:%'")
@@ -138,15 +143,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_surrogates(spark: SparkSession, d: str) -> DataFrame:
-    return pii.rewritten(table(spark, d, "documents"), _p9_detector(spark, d), "surrogate").distinct()
+    return pii.rewritten(table(spark, d, "documents"), _p9_detector(spark, d), "surrogate", KEY).distinct()
 
 
 def p9_placeholders(spark: SparkSession, d: str) -> DataFrame:
-    return pii.rewritten(table(spark, d, "documents"), _p9_detector(spark, d), "placeholder").distinct()
+    return pii.rewritten(table(spark, d, "documents"), _p9_detector(spark, d), "placeholder", KEY).distinct()
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_languages, p1_passages, p2_found, p2_splits, p2_incremental, p3_found, p3_lines, p3_clean, p4_found, p4_outliers, p4_statistics, p5_found, p5_annotators, p5_agreement, p6_found, p6_statistics, p6_classes, p7_sequences, p7_report, p8_found, p8_overlaps, p9_found, p9_surrogates, p9_placeholders)}
+    return {f.__name__: f for f in (p1_found, p1_languages, p1_passages, p2_found, p2_members, p2_splits, p2_incremental, p3_found, p3_lines, p3_clean, p4_found, p4_outliers, p4_statistics, p5_found, p5_annotators, p5_agreement, p6_found, p6_statistics, p6_classes, p7_sequences, p7_report, p8_found, p8_overlaps, p9_found, p9_surrogates, p9_placeholders)}
 
 
 def oracle_sql() -> dict[str, str]:

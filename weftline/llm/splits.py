@@ -6,8 +6,9 @@ contracted after each round; earlier batches come in as their persisted componen
 edges are followed. An existing component keeps its split, new ones fill the splits' deficits, and a merge of
 components with different splits is quarantined (split ``quarantine``), since either choice would leak.
 
-New components with at least 1/``large`` of all rows (at most ``large`` of them) are given, largest first, to the
-split with the greatest deficit; the small rest is drawn by a seeded hash in proportion to what is missing then.
+New components fill the splits' deficits: those with at least 1/``large`` of all rows (at most ``large`` of them) go,
+largest first, to the split with the greatest deficit; the others stand in a seeded order, whose running sum of rows
+is laid along what is still missing in each split, so that every split is met to within one small component.
 
 Scale: edges are stars (document to its smallest host), never pairs; every join has one row a key on one side, and
 AQE splits a hot node's other side. Rounds are logarithmic in the longest chain; each is written to the shared folder.
@@ -26,6 +27,7 @@ from pyspark.sql.window import Window
 
 from weftline.functions.urls import host_label, host_name
 from weftline.operators.components import components, star_edges
+from weftline.operators.sampling import running_sum
 from weftline.session import cut, shared_dir
 
 COMPONENTS = "node string, component string, split string, status string, rows long"
@@ -42,10 +44,6 @@ def record_nodes(records: DataFrame, doc_col: str = "doc_id", host_col: str = "h
     return records.select(node.alias("node"), doc.alias("doc"))
 
 
-def _unit(key: Column, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) / float(1 << 40)
-
-
 def _chosen(u: Column, shares: dict[str, float]) -> Column:
     """The split in whose interval ``u`` lies; shares that sum to nothing fall back to the target's order."""
     total, below, out = sum(shares.values()), 0.0, None
@@ -101,11 +99,14 @@ def assign_splits(records: DataFrame, prior: DataFrame | None = None, shares: di
         lacking[name] -= r["size"]
         placed.append((r["component"], name))
     missing = {s: max(x, 0.0) for s, x in lacking.items()}
-    drawn = _chosen(_unit(F.col("component"), seed), missing if sum(missing.values()) > 0 else shares)
     at = records.sparkSession.createDataFrame(placed, "component string, given string")
-    split = F.when(F.col("one") != F.col("other"), QUARANTINE).when(F.col("one").isNotNull(), F.col("one")).otherwise(F.coalesce("given", drawn))
+    small = new.where(F.col("size") * large < total).select("component", "size", F.xxhash64(F.lit(seed), "component").alias("order"), F.lit(0).alias("all"))
+    ordered = cut(running_sum(small, ["all"], [F.col("order"), F.col("component")], "size", "upto"), "fill")
+    length = ordered.agg(F.coalesce(F.max("upto"), F.lit(0))).first()[0]
+    filled = ordered.select("component", _chosen((F.col("upto") - F.col("size") / 2) / max(length, 1), missing if sum(missing.values()) > 0 else shares).alias("filled"))
+    split = F.when(F.col("one") != F.col("other"), QUARANTINE).when(F.col("one").isNotNull(), F.col("one")).otherwise(F.coalesce("given", "filled"))
     status = F.when(F.col("one") != F.col("other"), "conflict").when(F.col("one").isNull(), "new").when(F.col("old_a") != F.col("old_b"), "merged").when(F.col("fresh"), "grown").otherwise("kept")
-    decided = groups.join(at, "component", "left").select("component", split.alias("split"), status.alias("status"))
+    decided = groups.join(at, "component", "left").join(filled, "component", "left").select("component", split.alias("split"), status.alias("status"))
     return members.select("node", "component", "rows").join(decided, "component").select("node", "component", "split", "status", "rows")
 
 
@@ -128,8 +129,15 @@ def split_shares(table: DataFrame) -> DataFrame:
     return sums.select("split", "components", "rows", F.round(F.col("rows") / total, 6).alias("share"))
 
 
+def host_groups(table: DataFrame) -> DataFrame:
+    """(host, first) of hosts that share a component with others: the component by its first host. One row a host."""
+    hosts = table.where(F.col("node").startswith("host:")).select("component", F.substring("node", 6, 4000).alias("host"))
+    first = hosts.groupBy("component").agg(F.min("host").alias("first"), F.count("*").alias("n")).where("n > 1").select("component", "first")
+    return hosts.join(first, "component").select("host", "first")
+
+
 def linked_hosts(table: DataFrame) -> DataFrame:
-    """Pairs (host_a, host_b) of hosts in one component, host_a < host_b."""
+    """Pairs (host_a, host_b) of hosts in one component, host_a < host_b: as many as the result has; ``host_groups`` says the same in a row a host."""
     hosts = table.where(F.col("node").startswith("host:")).select("component", F.substring("node", 6, 4000).alias("host"))
     several = hosts.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
     some = hosts.join(several, "component")
