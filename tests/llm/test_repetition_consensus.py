@@ -88,6 +88,18 @@ def test_outliers_count_a_page_once_and_stand_a_third_of_copies(spark):
         assert sorted(r["page_id"] for r in R.outlying_pages(pages(spark, rows)).collect()) == sorted({r[0] for r in rows if r[0] >= 1000})
 
 
+def test_a_third_of_near_copies_is_no_norm():
+    """Statistics of 600 usual pages, of which half have no repetition, and of 300 near copies of a repetitive page."""
+    rng = np.random.default_rng(5)
+    n = np.r_[np.exp(rng.normal(5.25, 0.3, 600)).astype(int), rng.integers(295, 306, 300)]
+    rep = np.r_[np.where(rng.random(600) < 0.5, 0, np.exp(rng.normal(3.0, 0.5, 600))), n[600:] * rng.normal(0.6, 0.01, 300)].astype(int)
+    exc = (rep * 0.55).astype(int)
+    cells = np.stack([*(np.where(rep > 0, R._grid(R._logit(x, n)), R.NOTHING) for x in (rep, exc)), R._grid(np.log(n + 1.0))], 1)
+    mean, cov = R.estimate(*R.weighted(cells.astype(float), np.ones(900)))
+    far = R._distances(np.stack([R._logit(rep, n), R._logit(exc, n), np.log(n + 1.0)], 1), mean, cov) > R.CHI2_999_3
+    assert far[600:].all() and far[:600][rep[:600] > 0].mean() < 0.05
+
+
 def titled(i):
     """A page with its title twice and a refrain: repetition that is usual, however large its share of a short page."""
     rng = random.Random(i)

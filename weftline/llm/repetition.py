@@ -6,13 +6,14 @@ or digits); a single word between two repeated passages counts with them, so tha
 passage. The shares are transformed by the logit, the length by the logarithm: a title printed twice or a refrain
 makes a larger share of a shorter page, so what is usual depends on the length, as the covariances tell.
 
-Of the pages with any repetition, minimum-covariance-determinant estimates of location and scatter are made for the
-corpus, for each language and for each (language, source) group; a group's estimate is shrunk towards its
+Minimum-covariance-determinant estimates of location and scatter are made for the corpus, for each language and for each (language, source) group; a group's estimate is shrunk towards its
 language's, that towards the corpus', and that towards ``PRIOR``, each as if the wider one were ``SHRINK`` pages more.
 A page is rejected if its squared Mahalanobis distance under one of the three exceeds the chi-square quantile, on the
 side of more repetition; a source or a language of which repetition is the rule is so held against the wider ones.
+A page without any repetition counts in the estimates as usual ones with little of it do: as if it said a title of ten
+words twice (``USUAL``, with its spread), since the logit of nothing tells no more than the length.
 ``p4_found`` are the rejected pages of which at least two fifths of the words repeat. An estimate is of half of its
-pages, and copies of a page count once, so copies of a repetitive page never become the norm.
+pages, and copies of a page count once; a third of all pages may be copies, or near copies, of a repetitive page.
 
 Scale: one pass over the texts. The statistics are counted on a fixed grid, so that a group of any size is at most a
 few thousand weighted cells; what is shuffled are statistics (map-side distinct), cells, and one estimate a group.
@@ -41,9 +42,12 @@ CHI2_999_3 = 16.266  # quantile of the chi-square distribution with 3 degrees of
 CHI2_975_3 = 9.348  # the same at 0.975, for the reweighting step
 HALF_3 = 2.455  # a normal distribution's scatter to that of its inner half, in 3 dimensions
 D = 3
-FLOOR = np.eye(D) * STEP**2 / 12  # the grid's rounding variance, so that exact fits stay invertible
+FLOOR = np.eye(D) * (STEP / 2) ** 2  # least variance: exact fits stay invertible, and a heap of near copies isn't the tightest half
 SHRINK = 60.0  # pages that a wider estimate counts for
-PRIOR = (np.array([-2.2, -2.9, 5.0]), np.diag([0.35, 0.35, 0.35]))  # a tenth repeated, a twentieth beyond first occurrences, 150 words
+USUAL = np.log([20.0, 10.0])  # words repeated, and beyond first occurrences, by a title of ten words said twice
+SPREAD, TIE = 0.5, 0.9  # standard deviation of their logarithms, and their correlation
+PRIOR = (np.array([-1.9, -2.6, 5.0]), np.diag([0.35, 0.35, 0.35]))  # the same on 150 words
+NOTHING = -1000  # the cell of a page without repetition
 CELL = ["c1", "c2", "c3"]
 STATS = "page_id {id}, lang string, host string, copy long, words int, repeated int, excess int, top int, c1 int, c2 int, c3 int"
 ESTIMATE = "n double, mean array<double>, scatter array<double>"
@@ -100,7 +104,7 @@ def _stats(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
         for start, stop in chunks(b.column("text").to_pylist()):
             part = b.slice(start, stop - start)
             total, repeated, excess, top = repeated_words(part.column("text").to_pylist(), n)
-            cells = _grid(_logit(repeated, total)), _grid(_logit(excess, total)), _grid(np.log(total + 1.0))
+            cells = [*(np.where(repeated > 0, _grid(_logit(x, total)), NOTHING) for x in (repeated, excess)), _grid(np.log(total + 1.0))]
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in ("page_id", "lang", "host", "copy")), *(pa.array(x.astype(np.int32)) for x in (total, repeated, excess, top, *cells))],
                 ["page_id", "lang", "host", "copy", "words", "repeated", "excess", "top", *CELL],
@@ -166,9 +170,20 @@ def estimate(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _moments(x[inside], w[inside]) if inside.any() else (mean, cov * HALF_3)
 
 
+def weighted(cells: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics and weights of cells; those without repetition are spread over USUAL's distribution (nine points with its moments)."""
+    none = cells[:, 0] == NOTHING
+    h, hw = np.array([-np.sqrt(3), 0, np.sqrt(3)]), np.array([1, 4, 1]) / 6
+    one, other = (g.ravel() for g in np.meshgrid(h, h))
+    words = np.exp(cells[none, 2:] * STEP)
+    parts = [np.minimum(np.exp(mean + SPREAD * z), 0.9 * words) for mean, z in zip(USUAL, (one, TIE * one + np.sqrt(1 - TIE**2) * other))]
+    x = np.stack([*(np.log(p / (words - p)).ravel() for p in parts), np.repeat(cells[none, 2] * STEP, 9)], 1)
+    return np.concatenate([cells[~none] * STEP, x]), np.concatenate([w[~none], (w[none, None] * np.outer(hw, hw).ravel()).ravel()])
+
+
 def _estimate(group: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
     w = group["n"].to_numpy(float)
-    mean, cov = estimate(group[CELL].to_numpy(float) * STEP, w)
+    mean, cov = estimate(*weighted(group[CELL].to_numpy(float), w))
     return pd.DataFrame([[*group.iloc[0][keys], w.sum(), mean.tolist(), cov.ravel().tolist()]], columns=[*keys, "n", "mean", "scatter"])
 
 
@@ -198,7 +213,7 @@ def _distance(mean: str, precision: str) -> Column:
 
 def estimates(stats: DataFrame) -> DataFrame:
     """One row for each (lang, host): location and precision of the group, its language and the corpus."""
-    some = stats.where("repeated > 0").groupBy("lang", "copy", *CELL).agg(F.min("host").alias("host"))  # copies count once, at the first of their hosts
+    some = stats.where("words > 0").groupBy("lang", "copy", *CELL).agg(F.min("host").alias("host"))  # copies count once, at the first of their hosts
     cells = cut(some.groupBy("lang", "host", *CELL).agg(F.count("*").alias("n")), "cells")
     spread = lambda df, keys: df.repartition(shuffle_partitions(df.sparkSession), *keys)  # noqa: E731  (small rows, much work)
     by = lambda df, keys: spread(df, keys).groupBy(*keys).applyInPandas(lambda g: _estimate(g, keys), ", ".join(f"{k} string" for k in keys) + ", " + ESTIMATE)
