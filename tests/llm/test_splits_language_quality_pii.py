@@ -155,9 +155,9 @@ def test_surrogates_are_consistent_distinct_and_typed(spark):
     assert not {"Amina", "Gwebusha", "Musa"} & set(re.findall(r"\w+", out))
     plain = next(r["text"] for r in pii.rewritten(df, DETECTOR, "placeholder", b"k").collect() if r["doc_id"] == 1)
     assert plain.startswith("[NAME_1], [PHONE_1], [ID_NUMBER_1]\n[NAME_2] da [NAME_3]: [EMAIL_1] ko [PHONE_1], [ADDRESS_1]")
-    found = {(r["line_no"], r["kind"]) for r in pii.located(df, DETECTOR).where("doc_id = 1").collect()}
+    found = {(r["line_no"], r["kind"]) for r in pii.located(df, DETECTOR, b"k").where("doc_id = 1").collect()}
     assert found == {(0, "name"), (0, "phone"), (0, "id_number"), (1, "name"), (1, "email"), (1, "phone"), (1, "address")}
-    assert pii.located(df.where("false"), DETECTOR).count() == 0
+    assert pii.located(df.where("false"), DETECTOR, b"k").count() == 0
 
 
 def test_parts_of_names_and_addresses_never_collide():
@@ -168,6 +168,33 @@ def test_parts_of_names_and_addresses_never_collide():
     assert s.of("address", "No. 5 Titin Sasa").split()[1:] == s.of("address", "5 Titin Sasa").split()
 
 
+def test_a_title_tells_the_gender_of_an_unlisted_given_name():
+    names = pii.name_sets([("Zenabu", "given"), ("Gwebusha", "family")])
+    s = pii.Surrogates(b"k", names, {"zenabu", "gwebusha"})
+    assert s.of("name", "Mrs Zenabu Gwebusha").split()[1].lower() in pii.GIVEN["f"].split()
+    assert s.of("name", "Zenabu") == s.of("name", "Mrs Zenabu Gwebusha").split()[1]
+
+
+def test_entities_far_from_their_marks_are_found():
+    far = "wani labari mai tsawo " * 40
+    text = f"lambar waya {far} 08271021539 {far} NIN: 0083-715-9133 {far} 84 Titin Sasa {far}"
+    assert [k for _, _, k, _ in DETECTOR.find([text])[0]] == ["phone", "id_number", "address"]
+
+
+def test_too_many_common_words_are_an_error(spark):
+    names = spark.createDataFrame([("Amina", "given")], "name string, name_part string")
+    words = spark.range(6).selectExpr("cast(id as string) as word", "'hau_Latn' as lang")
+    with pytest.raises(ValueError, match="common words"):
+        pii.detector_for(names, words, 5)
+    with pytest.raises(ValueError, match="common words"):
+        G.identified(words.selectExpr("word as id", "word as text"), words.selectExpr("lang", "word as text"), words, most_words=5)
+
+
+def test_every_common_word_counts(spark):
+    words = spark.range(20_001).selectExpr("concat('k', cast(id as string)) as word", "'hau_Latn' as lang")
+    assert len(pii.detector_for(spark.createDataFrame([("A", "given")], "name string, name_part string"), words).common) == 20_001
+
+
 def test_a_used_up_pool_gives_syllable_names():
     given = {"x" + a + b: "f" for a in "abcdefghij" for b in "abcdefghijklmno"}
     s = pii.Surrogates(b"k", dataclasses.replace(NAMES, given=NAMES.given | given), set(given))

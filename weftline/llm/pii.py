@@ -339,12 +339,14 @@ class Surrogates:
 
         return self._unique(kind, entity, make, lambda n, step: make(n) + str(step))
 
-    def _word(self, kind: str, low: str) -> str:
+    def _word(self, kind: str, low: str, told: str = "") -> str:
+        """Another word of its kind. ``told``: the gender that a title tells, for given names whose own isn't known; the first text that names it decides."""
         def syllables(n: int, count: int) -> str:
             return "".join(SYLLABLES[(n >> (8 * i)) % len(SYLLABLES)] for i in range(min(count, 16)))
 
-        if kind == "given" and self.names.given.get(low):
-            pool = GIVEN[self.names.given[low]].split()
+        gender = self.names.given.get(low) or told if kind == "given" else ""
+        if gender:
+            pool = GIVEN[gender].split()
             return self._unique(kind, low, lambda n: pool[n % len(pool)], lambda n, step: syllables(n, 3 + step // 100))
         return self._unique(kind, low, lambda n: syllables(n, 3 + n % 2), lambda n, step: syllables(n, 5 + step // 100))
 
@@ -372,6 +374,8 @@ class Surrogates:
         return self._unique("house", " ".join([*numbers, street]), make, lambda n, step: make(n, 1 + step // 100)).split(" ")[: len(numbers)]
 
     def name(self, text: str) -> str:
+        told = next((g for w in re.findall(r"[A-Za-z']+", text.lower()) if (g := self.names.titles.get(w) if len(w) > 1 else None)), "")
+
         def one(m: re.Match) -> str:
             w = m.group()
             low = w.lower()
@@ -379,7 +383,7 @@ class Surrogates:
                 return w
             if len(w) == 1:
                 return w if w == "'" else self._initial(low)
-            new = self._word("given" if low in self.names.given else "family", low)
+            new = self._word("given" if low in self.names.given else "family", low, told)
             return new.upper() if w.isupper() else new.capitalize()
 
         return re.sub(r"[A-Za-z']+", one, text)
@@ -406,18 +410,21 @@ class Surrogates:
         return re.sub(r"\d+", lambda _: next(house), named)
 
 
-def replaced(text: str, entities: list[tuple[int, int, str, str]], mode: str, key: bytes, names: Names) -> str:
-    """The text with surrogates (``mode`` surrogate) or typed placeholders (placeholder) in the entities' places."""
-    makers = Surrogates(key, names, {p.lower() for _, _, _, p in entities} | {w.lower() for _, _, k, p in entities if k == "name" for w in re.findall(r"[A-Za-z']+", p)})
+def replacements(entities: list[tuple[int, int, str, str]], mode: str, key: bytes, names: Names) -> list[str]:
+    """What stands for each of a text's entities: surrogates (``mode`` surrogate) or typed placeholders (placeholder)."""
+    if mode == "surrogate":
+        makers = Surrogates(key, names, {p.lower() for _, _, _, p in entities} | {w.lower() for _, _, k, p in entities if k == "name" for w in re.findall(r"[A-Za-z']+", p)})
+        return [makers.of(kind, plain) for _, _, kind, plain in entities]
     numbers: dict[tuple[str, str], int] = {}
+    for _, _, kind, plain in entities:
+        numbers.setdefault((kind, re.sub(r"\W", "", plain.lower())), 1 + sum(k == kind for k, _ in numbers))
+    return [f"[{kind.upper()}_{numbers[kind, re.sub(r'\W', '', plain.lower())]}]" for _, _, kind, plain in entities]
+
+
+def replaced(text: str, entities: list[tuple[int, int, str, str]], mode: str, key: bytes, names: Names) -> str:
+    """The text with ``replacements`` in the entities' places."""
     out, at = [], 0
-    for a, b, kind, plain in entities:
-        if mode == "surrogate":
-            new = makers.of(kind, plain)
-        else:
-            entity = (kind, re.sub(r"\W", "", plain.lower()))
-            n = numbers.setdefault(entity, 1 + sum(k == kind for k, _ in numbers))
-            new = f"[{kind.upper()}_{n}]"
+    for (a, b, _, _), new in zip(entities, replacements(entities, mode, key, names)):
         out += [text[at:a], new]
         at = b
     return "".join([*out, text[at:]])
@@ -425,20 +432,20 @@ def replaced(text: str, entities: list[tuple[int, int, str, str]], mode: str, ke
 
 # --- over DataFrames
 
-FOUND = "doc_id {id}, starts array<int>, ends array<int>, lines array<int>, kinds array<string>"
+FOUND = "doc_id {id}, starts array<int>, ends array<int>, lines array<int>, kinds array<string>, surrogates array<string>"
 
 
-def _located(batches: Iterator[pa.RecordBatch], detector: Detector) -> Iterator[pa.RecordBatch]:
+def _located(batches: Iterator[pa.RecordBatch], detector: Detector, key: bytes) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column("text").to_pylist()
         for start, stop in chunks(texts):
             found = detector.find(texts[start:stop])
             keep = [i for i, e in enumerate(found) if e]
             counts = np.array([len(found[i]) for i in keep], np.int64)
-            flat = [(a, z, texts[start + i].count("\n", 0, a), k) for i in keep for a, z, k, _ in found[i]]
-            columns = [pa.array([x[j] for x in flat], t) for j, t in ((0, pa.int32()), (1, pa.int32()), (2, pa.int32()), (3, pa.string()))]
+            flat = [(a, z, texts[start + i].count("\n", 0, a), k, new) for i in keep for (a, z, k, _), new in zip(found[i], replacements(found[i], "surrogate", key, detector.names))]
+            columns = [pa.array([x[j] for x in flat], t) for j, t in ((0, pa.int32()), (1, pa.int32()), (2, pa.int32()), (3, pa.string()), (4, pa.string()))]
             ids = b.column("doc_id").slice(start, stop - start).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, *(list_array(c, counts) for c in columns)], ["doc_id", "starts", "ends", "lines", "kinds"])
+            yield pa.RecordBatch.from_arrays([ids, *(list_array(c, counts) for c in columns)], ["doc_id", "starts", "ends", "lines", "kinds", "surrogates"])
 
 
 def _rewritten(batches: Iterator[pa.RecordBatch], detector: Detector, mode: str, key: bytes) -> Iterator[pa.RecordBatch]:
@@ -466,12 +473,13 @@ def _slim(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def located(documents: DataFrame, detector: Detector, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, line_no, kind) of every entity; places count characters, lines newlines."""
+def located(documents: DataFrame, detector: Detector, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start, end, line_no, kind, surrogate) of every entity that gets a surrogate; places count characters, lines newlines."""
     sent = documents.sparkSession.sparkContext.broadcast(detector)
     slim = _slim(documents, id_col, text_col)
-    lists = slim.mapInArrow(lambda it: _located(it, sent.value), FOUND.format(id=slim.schema[0].dataType.simpleString()))
-    return lists.select("doc_id", F.explode(F.arrays_zip("starts", "ends", "lines", "kinds")).alias("e")).select("doc_id", F.col("e.starts").alias("start"), F.col("e.ends").alias("end"), F.col("e.lines").alias("line_no"), F.col("e.kinds").alias("kind"))
+    lists = slim.mapInArrow(lambda it: _located(it, sent.value, key), FOUND.format(id=slim.schema[0].dataType.simpleString()))
+    each = lists.select("doc_id", F.explode(F.arrays_zip("starts", "ends", "lines", "kinds", "surrogates")).alias("e"))
+    return each.select("doc_id", F.col("e.starts").alias("start"), F.col("e.ends").alias("end"), F.col("e.lines").alias("line_no"), F.col("e.kinds").alias("kind"), F.col("e.surrogates").alias("surrogate"))
 
 
 def rewritten(documents: DataFrame, detector: Detector, mode: str, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -139,7 +139,7 @@ def _p9_detector(spark: SparkSession, d: str) -> pii.Detector:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.located(table(spark, d, "documents"), _p9_detector(spark, d)).select("doc_id", "line_no", "kind").distinct()
+    return pii.located(table(spark, d, "documents"), _p9_detector(spark, d), KEY).where("surrogate is not null").select("doc_id", "line_no", "kind").distinct()
 
 
 def p9_surrogates(spark: SparkSession, d: str) -> DataFrame:
