@@ -96,7 +96,7 @@ def test_a_third_of_near_copies_is_no_norm():
     exc = (rep * 0.55).astype(int)
     cells = np.stack([*(np.where(rep > 0, R._grid(R._logit(x, n)), R.NOTHING) for x in (rep, exc)), R._grid(np.log(n + 1.0))], 1)
     mean, cov = R.estimate(*R.weighted(cells.astype(float), np.ones(900)))
-    far = R._distances(np.stack([R._logit(rep, n), R._logit(exc, n), np.log(n + 1.0)], 1), mean, cov) > R.CHI2_999_3
+    far = R._distances(np.stack([R._logit(rep, n), R._logit(exc, n), np.log(n + 1.0)], 1), mean, cov) > R.CHI2_9999_3
     assert far[600:].all() and far[:600][rep[:600] > 0].mean() < 0.05
 
 

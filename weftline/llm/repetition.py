@@ -38,7 +38,7 @@ from weftline.session import cut, shuffle_partitions
 
 N = 5
 STEP, EDGE = 0.25, 20.0
-CHI2_999_3 = 16.266  # quantile of the chi-square distribution with 3 degrees of freedom at 0.999
+CHI2_9999_3 = 21.108  # quantile of the chi-square distribution with 3 degrees of freedom at 0.9999
 CHI2_975_3 = 9.348  # the same at 0.975, for the reweighting step
 HALF_3 = 2.455  # a normal distribution's scatter to that of its inner half, in 3 dimensions
 D = 3
@@ -234,7 +234,7 @@ def estimates(stats: DataFrame) -> DataFrame:
     return every.mapInPandas(lambda it: _precisions(it, ["group", "language", "corpus"]), every.schema)
 
 
-def rejected(stats: DataFrame, cutoff: float = CHI2_999_3) -> DataFrame:
+def rejected(stats: DataFrame, cutoff: float = CHI2_9999_3) -> DataFrame:
     """The rows of ``stats`` beyond the cutoff of their group's, their language's or the corpus' estimate, on the side of more repetition."""
     joined = stats.where("repeated > 0").join(estimates(stats), ["lang", "host"])
     share = F.log((F.col("repeated") + 0.5) / (F.col("words") - F.col("repeated") + 0.5))
@@ -242,11 +242,11 @@ def rejected(stats: DataFrame, cutoff: float = CHI2_999_3) -> DataFrame:
     return joined.where(beyond[0] | beyond[1] | beyond[2]).select(stats.columns)
 
 
-def outlying_pages(pages: DataFrame, n: int = N, cutoff: float = CHI2_999_3, **cols: str) -> DataFrame:
+def outlying_pages(pages: DataFrame, n: int = N, cutoff: float = CHI2_9999_3, **cols: str) -> DataFrame:
     """Pages outlying for more repetition in their group, language or corpus, with their statistics; each page once."""
     return rejected(cut(repetition_statistics(pages, n, **cols), "repetition"), cutoff).dropDuplicates(["page_id"])
 
 
-def repetitive_pages(pages: DataFrame, share: float = 0.4, n: int = N, cutoff: float = CHI2_999_3, **cols: str) -> DataFrame:
+def repetitive_pages(pages: DataFrame, share: float = 0.4, n: int = N, cutoff: float = CHI2_9999_3, **cols: str) -> DataFrame:
     """The outlying pages of which at least ``share`` of the words repeat, with their statistics."""
     return outlying_pages(pages, n, cutoff, **cols).where(F.col("repeated") >= share * F.col("words"))
