@@ -203,3 +203,16 @@ def test_scored_bytes_need_whole_pieces(spark):
     with pytest.raises(Exception, match="add up"):
         df.select(reports.scored_bytes(F.slice("p", 1, 2), F.col("t"), 2)).collect()
     assert reports.checkpoints(20) == [0, 2, 3, 4, 6, 8, 11, 16, 20]
+
+
+def test_token_counts_are_the_round_trips(spark):
+    import os
+
+    from weftline.functions import bpe
+
+    if not os.path.exists(bpe.TOKENIZER):
+        pytest.skip("no tokenizer")
+    texts = ["Ina kwana, lafiya?", "", None, "ọ̀rọ̀ wa\n 12"]
+    got = {r["t"]: r["n"] for r in bpe.with_token_count(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()}
+    enc = bpe.tokenizer(bpe.TOKENIZER)
+    assert got == {t: len(enc.encode_ordinary(t or "")) + 1 for t in texts} and enc.decode(enc.encode_ordinary(texts[3])) == texts[3]

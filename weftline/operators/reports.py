@@ -107,9 +107,13 @@ def scored_bytes(pieces: Column, text: Column, context: int) -> Column:
     return F.when(whole, size(F.slice(pieces, 2, context - 1))).otherwise(F.raise_error(F.lit("pieces don't add up to the text")).cast("int"))
 
 
-def checkpoints(steps: int) -> list[int]:
-    """Steps at which a run is measured: powers of the square root of 2 from 2, the start and the end."""
-    return sorted({0, steps} | {min(steps, round(2 ** (i / 2))) for i in range(2, 40)})
+def checkpoints(steps: int, most: int = 38) -> list[int]:
+    """Steps at which a run is measured: the start, then ever a square root of 2 further on from 2 (at most ``most`` times), and the end."""
+    out, power = [0], 2
+    while len(out) <= most and (at := round(2 ** (power / 2))) < steps:
+        out.append(at)
+        power += 1
+    return out if steps == 0 else [*out, steps]
 
 
 def seed_ranges(curves: DataFrame) -> DataFrame:

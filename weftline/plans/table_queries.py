@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions import bpe
 from weftline.functions import text as T
 from weftline.functions import urls as U
 from weftline.operators import labels as L
 from weftline.operators import reports, sampling
 from weftline.plans.base import pick, pick_sql, query, score_sql, site_sql, tokens_sql
 from weftline.plans.dedup_queries import score
-from weftline.session import table
+from weftline.session import cut, table
 
 
 def sized(spark: SparkSession, d: str) -> DataFrame:
@@ -172,6 +173,22 @@ def length_batches(spark: SparkSession, d: str) -> DataFrame:
     return sampling.length_batches(sized(spark, d), "doc_id", "n", 64)
 
 
+@query()
+def token_count(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and subword tokens by language, by the public vocabulary; round trips are tested."""
+    counted = bpe.with_token_count(table(spark, d, "documents"), "text")
+    return counted.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
+
+
+@query()
+def budget_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """A budget of subword tokens by language, filled greedily; the fill is checked by ``budget_greedy``."""
+    docs = bpe.with_token_count(table(spark, d, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang")), "text").select("doc_id", "lang", "n")
+    docs = cut(docs, "tokens")  # encoded once
+    budgets = docs.groupBy("lang").agg(F.floor(F.sum("n") * 4 / 10).alias("budget"))
+    return sampling.greedy_fill(docs, budgets, "doc_id", "n", "lang", 3)
+
+
 @query("select pass, count(*) as n, count(distinct doc_id) as ids from documents, (select unnest([1, 2, 3]) as pass) group by 1")
 def epoch_sampler(spark: SparkSession, d: str) -> DataFrame:
     each = sampling.epochs(table(spark, d, "documents"), 3, "doc_id")
