@@ -13,32 +13,17 @@ come. An empty table gives no containers; other columns are ignored.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-# fixed value: the published splitting pattern of this vocabulary
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-PACKED = "seq_id long, doc_ids array<{id}>, starts array<int>, lengths array<int>, tokens array<int>, n_tokens int, padding int"
-
-
-@lru_cache(maxsize=2)
-def tokenizer(path: str):
-    """The vocabulary of a file; on a worker its shipped copy."""
-    import base64
+from weftline.functions.bpe import TOKENIZER, tokenizer
 
-    import tiktoken
-
-    with open(SparkFiles.get(os.path.basename(path)) if TaskContext.get() else path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+PACKED = "seq_id long, doc_ids array<{id}>, starts array<int>, lengths array<int>, tokens array<int>, n_tokens int, padding int"
 
 
 class Packer:
