@@ -10,15 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.text import nfc, shingles, tokens, wiki_title
+from weftline.functions.text import nfc, tokens, wiki_title
 from weftline.functions.urls import site
 
 
 def grams(texts: DataFrame, id_col: str, text: str, n: int = 13) -> DataFrame:
-    """(id, gram) of each text's different grams, hashed; a text of fewer than ``n`` words has none."""
-    toks = tokens(nfc(F.coalesce(F.col(text), F.lit(""))))
-    hashed = F.transform(shingles(F.col("_t"), n, False), lambda g: F.xxhash64(g))
-    return texts.select(id_col, toks.alias("_t")).select(id_col, F.explode(hashed).alias("gram"))
+    """(id, gram) of each text's different grams, as hashes of their words' hashes; a text of fewer than ``n`` words has none."""
+    words = F.transform(tokens(nfc(F.coalesce(F.col(text), F.lit("")))), lambda t: F.xxhash64(t))
+    hashed = F.transform(F.sequence(F.lit(1), F.size("_t") - (n - 1)), lambda i: F.xxhash64(F.slice("_t", i, n)))
+    return texts.select(id_col, words.alias("_t")).where(F.size("_t") >= n).select(id_col, F.explode(F.array_distinct(hashed)).alias("gram"))
 
 
 def _met(docs: DataFrame, keys: DataFrame, how: str, id_col: str, text: str, most_sent: int) -> DataFrame:
