@@ -1,5 +1,7 @@
 """Near-duplicates, components, sampling, labels and reports against plain Python."""
 
+import itertools
+import math
 import random
 
 import numpy as np
@@ -166,6 +168,15 @@ def test_scores_metrics_and_comparison(spark):
     assert (r["wins"], r["losses"], r["unclear"]) == (1, 0, 1)
 
 
+def test_mean_over_seeds_does_not_depend_on_the_rows_order(spark):
+    seeds = {"a": [1.2834, 1.2936, 1.2769, 1.2835], "b": [1.2955, 1.3095, 1.317, 1.2954], "c": [1.2, 1.3, 1.3]}  # a and b: halves
+    rows = [(name, str(i), x) for name, xs in seeds.items() for i, order in enumerate(itertools.permutations(xs)) for x in order]
+    rows += [("nan", "0", 1.0), ("nan", "0", float("nan")), ("none", "0", None), ("some", "0", None), ("some", "0", 1e300)]
+    got = {(r.version, r.held_set): r for r in reports.seed_ranges(spark.createDataFrame(rows, "version string, held_set string, bpb double").coalesce(1)).collect()}
+    assert {(v, got[v, s].mean) for v, s in got if v in seeds} == {("a", 1.2844), ("b", 1.3044), ("c", 1.2667)}
+    assert math.isnan(got["nan", "0"].mean) and got["none", "0"].mean is None and got["some", "0"].mean == 1e300
+
+
 def test_a_missing_score_is_an_error_unless_it_may_lack(spark):
     docs = spark.createDataFrame([("a", False), ("b", True), ("c", None)], "id string, optional boolean")
     scores = spark.createDataFrame([("a", 0.2), ("c", 0.7)], "id string, p double")

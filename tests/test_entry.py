@@ -2,6 +2,7 @@
 
 import glob
 import os
+from decimal import ROUND_HALF_UP, Decimal
 
 import duckdb
 import pytest
@@ -38,3 +39,11 @@ def test_query_equals_its_sql(spark, sql, name):
     assert rows(ours) == rows(theirs)
 
 
+def test_seed_means_are_those_of_the_sql_s_curves(spark, sql):
+    """Against exact means of the ``bpb`` SQL: a mean of doubles, as in ``seed_ranges``' SQL, depends on their order where it is a half."""
+    seeds = {}
+    for version, held_set, _, x in sql.execute(f"select version, held_set, seed, bpb from ({entry.oracle_sql()['bpb']})").fetchall():
+        seeds.setdefault((version, held_set), []).append(Decimal(str(x)))
+    means = {k: (sum(xs) / len(xs)).quantize(Decimal("0.0001"), ROUND_HALF_UP) for k, xs in seeds.items()}
+    got = entry.queries()["seed_ranges"](spark, DATA).collect()
+    assert {(r.version, r.held_set): (r.mean, r.low, r.high) for r in got} == {k: (float(means[k]), float(min(xs)), float(max(xs))) for k, xs in seeds.items()}

@@ -117,5 +117,7 @@ def checkpoints(steps: int, most: int = 38) -> list[int]:
 
 
 def seed_ranges(curves: DataFrame) -> DataFrame:
-    """(version, held_set, mean, low, high) over seeds."""
-    return curves.groupBy("version", "held_set").agg(F.round(F.avg("bpb"), 4).alias("mean"), F.min("bpb").alias("low"), F.max("bpb").alias("high"))
+    """(version, held_set, mean, low, high) over seeds; the mean is the decimal numbers', so a half goes up in whatever order rows come."""
+    exact = F.avg(F.when(F.abs("bpb") < 1e15, F.col("bpb")).cast("decimal(38,18)"))
+    mean = F.when(F.bool_and(F.abs("bpb") < 1e15), F.round(exact, 4).cast("double")).otherwise(F.round(F.avg("bpb"), 4))  # NaN and what no decimal holds
+    return curves.groupBy("version", "held_set").agg(mean.alias("mean"), F.min("bpb").alias("low"), F.max("bpb").alias("high"))
